@@ -230,5 +230,5 @@ def _cross_pairs(open_: DataFrame) -> int:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five-word shingles, similarity 0.8."""
-    kept = link(docs, shingle_words=5).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
+    copies = link(docs, shingle_words=5).where("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(copies, docs["doc_id"].eqNullSafe(copies["__id"]), "left_anti")
