@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from urbanspark.llm import chat_format, decontaminate, language_id, near_dedup, url_filter
+from urbanspark.llm import chat_format, decontaminate, language_id, near_dedup, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.verdicts(table(spark, sf_dir, "pages"), url_filter.PAGE_RULES)
 
@@ -35,6 +39,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_near_dedup": op4_near_dedup,
     "op6_language_id": op6_language_id,
+    "op7_toxicity": op7_toxicity,
     "op8_url_filter": op8_url_filter,
     "op9_chat_format": op9_chat_format,
 }
