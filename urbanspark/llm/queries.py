@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from urbanspark.llm import chat_format, decontaminate, language_id, near_dedup, quality, toxicity, url_filter
+from urbanspark.llm import chat_format, decontaminate, language_id, lm_score, near_dedup, quality, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.with_control_conversation(table(spark, sf_dir, "conversations")))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_near_dedup": op4_near_dedup,
@@ -47,6 +51,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_url_filter": op8_url_filter,
     "op9_chat_format": op9_chat_format,
+    "op10_lm_score": op10_lm_score,
 }
 
 LOWER_AZ = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
