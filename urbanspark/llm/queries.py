@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from urbanspark.llm import chat_format, decontaminate, language_id, lm_score, near_dedup, quality, toxicity, url_filter
+from urbanspark.llm import chat_format, decontaminate, language_id, line_dedup, lm_score, near_dedup, quality, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.array_join(F.col("dropped_lines").cast("array<string>"), ",").alias("dropped_lines"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -44,6 +50,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_near_dedup": op4_near_dedup,
     "op5_quality": op5_quality,
@@ -57,6 +64,36 @@ QUERIES = {
 LOWER_AZ = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE = {
+    "op2_line_dedup": r"""
+        WITH raw AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+        cut AS (SELECT doc_id, i - 1 AS line, ls[i] AS body FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM raw)),
+        toks AS (SELECT doc_id, line, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS w FROM cut),
+        each AS (
+          SELECT doc_id, line, len(w) AS n, p, CASE WHEN regexp_matches(w[p], '[0-9]') THEN '<*>' ELSE w[p] END AS t
+          FROM (SELECT doc_id, line, w, unnest(range(1, len(w) + 1)) AS p FROM toks WHERE len(w) >= 5)),
+        lines AS (
+          SELECT doc_id, line, n, string_agg(t, ' ' ORDER BY p) AS body, n || ' ' || string_agg(t, ' ' ORDER BY p) FILTER (p <= 3) AS leaf
+          FROM each GROUP BY doc_id, line, n),
+        kinds AS (SELECT leaf, body, n, count(DISTINCT doc_id) AS docs FROM lines GROUP BY 1, 2, 3),
+        leaves AS (SELECT leaf, sum(docs) AS d, count(*) AS k FROM kinds GROUP BY 1 HAVING sum(docs) >= 3),
+        cand AS (SELECT kinds.*, k FROM kinds JOIN leaves USING (leaf)),
+        placed AS (SELECT leaf, body, n, docs, p, string_split(body, ' ')[p] AS t FROM (SELECT *, unnest(range(1, n + 1)) AS p FROM cand WHERE k > 1)),
+        staying AS (SELECT leaf, p, t FROM placed GROUP BY 1, 2, 3 HAVING sum(docs) >= 3),
+        forms AS (
+          SELECT leaf, body, n, string_agg(p || ':' || t, ' ' ORDER BY p) AS form, count(*) AS c
+          FROM placed JOIN staying USING (leaf, p, t) WHERE t <> '<*>' GROUP BY 1, 2, 3),
+        template AS (
+          SELECT leaf, body, '' AS form FROM cand WHERE k = 1 UNION ALL SELECT leaf, body, form FROM forms WHERE c * 10 >= n * 8),
+        held AS (SELECT lines.leaf, form, doc_id, line FROM lines JOIN template USING (leaf, body)),
+        recurring AS (SELECT leaf, form, min(doc_id) AS owner FROM held GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 3),
+        dropped AS (SELECT DISTINCT doc_id, line FROM held JOIN recurring USING (leaf, form) WHERE doc_id <> owner),
+        per_doc AS (
+          SELECT cut.doc_id, count(*) AS n_lines, count(d.line) AS n_dropped, string_agg(CAST(d.line AS VARCHAR), ',' ORDER BY d.line) AS ds,
+                 string_agg(body, chr(10) ORDER BY cut.line) FILTER (d.line IS NULL) AS left_over
+          FROM cut LEFT JOIN dropped d ON d.doc_id = cut.doc_id AND d.line = cut.line GROUP BY cut.doc_id)
+        SELECT documents.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped,
+               coalesce(ds, '') AS dropped_lines, CASE WHEN text IS NOT NULL THEN sha256(coalesce(left_over, '')) END AS text_sha256
+        FROM documents LEFT JOIN per_doc USING (doc_id)""",
     "op3_decontaminate": rf"""
         WITH d AS (
           SELECT doc_id, regexp_extract_all({LOWER_AZ.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
