@@ -9,10 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from urbanspark.llm import near_dedup
+from urbanspark.llm import decontaminate, language_id, line_dedup, near_dedup, pieces
 
 STAGES = [
+    ("language_id", language_id.stage),
+    ("line_dedup", line_dedup.stage),
     ("near_dedup", near_dedup.stage),
+    ("decontaminate", decontaminate.stage),
+    ("sentencepiece", pieces.stage),
 ]
 
 #: Language and token stages have no SQL form; tests hold run() against brute force.

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanspark.llm import chat_format, decontaminate, language_id, line_dedup, lm_score, near_dedup, quality, toxicity, url_filter
+from urbanspark.llm import chat_format, decontaminate, language_id, line_dedup, lm_score, near_dedup, pieces, quality, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trips(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = line_dedup.dedup(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_lines", "n_dropped", F.array_join(F.col("dropped_lines").cast("array<string>"), ",").alias("dropped_lines"), F.sha2("text", 256).alias("text_sha256"))
@@ -50,6 +54,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_line_dedup": op2_line_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_near_dedup": op4_near_dedup,
