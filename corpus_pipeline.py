@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from urbanspark.functions.session import checkpointed
 from urbanspark.llm import decontaminate, language_id, line_dedup, near_dedup, pieces
 
 STAGES = [
@@ -25,6 +26,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    *early, (_, last) = STAGES
+    for _, stage in early:
+        docs = checkpointed(stage(spark, docs, sf_dir))
+    return last(spark, docs, sf_dir)
