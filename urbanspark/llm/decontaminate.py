@@ -25,8 +25,6 @@ from urbanspark.functions.session import broadcast_if_small, checkpointed
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Windows up to this many are broadcast (about 250 bytes each); more are joined by shuffle.
 BROADCAST_WINDOWS = 200_000
-#: Documents with candidates up to this many are broadcast back to the texts.
-BROADCAST_CANDIDATES = 50_000
 
 
 def words_of(text: Column) -> Column:
@@ -71,7 +69,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     met = placed.join(broadcast_if_small(anchored, BROADCAST_WINDOWS), "word").where(inside).select("doc_id", F.struct(start.alias("start"), "item_id", "win").alias("c"))
     candidates = checkpointed(met.groupBy("doc_id").agg(F.collect_set("c").alias("cands")).withColumnRenamed("doc_id", "__id"))
 
-    joined = docs.join(broadcast_if_small(candidates, BROADCAST_CANDIDATES), docs["doc_id"].eqNullSafe(candidates["__id"]), "left")
+    joined = docs.join(candidates, docs["doc_id"].eqNullSafe(candidates["__id"]), "left")
     none = F.array().cast(candidates.schema["cands"].dataType)
     checked = joined.select("doc_id", words.alias("w"), F.coalesce("cands", none).alias("cands")).select("doc_id", F.size("w").cast("long").alias("n_words"), _verified("w", "cands").alias("hits"))
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["size"] - 1))))
