@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PARTS = "array<array<array<struct<x:double,y:double>>>>"
 GEOMETRY = f"struct<gtype:string,parts:{PARTS},xmin:double,ymin:double,xmax:double,ymax:double>"
@@ -357,7 +358,7 @@ def _intersect(a: dict, b: dict) -> bool:
     return False
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _intersects(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
     return pd.Series([_intersect(x, y) for x, y in zip(a.to_dict("records"), b.to_dict("records"), strict=True)])
 
@@ -389,7 +390,7 @@ def intersects_box(g: Column, x0, y0, x1, y1) -> Column:
     return F.when(near, alone | sides | corner).otherwise(False)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def self_crosses(g: pd.DataFrame) -> pd.Series:
     """Whether non-neighbouring sides of some ring meet."""
 
@@ -437,7 +438,7 @@ def _representative(gtype: str, parts) -> dict:
     return {"x": rings[0][0][0, 0], "y": rings[0][0][0, 1]}
 
 
-@F.pandas_udf("struct<x:double,y:double>")
+@F.pandas_udf(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
 def representative_point(g: pd.DataFrame) -> pd.DataFrame:
     """The point itself, the middle of a line, or a point inside a polygon's widest scan line."""
     return pd.DataFrame([_representative(t, p) for t, p in zip(g["gtype"], g["parts"], strict=True)], columns=["x", "y"])

@@ -21,8 +21,8 @@ def _bin(v: Column, size: float) -> Column:
     return F.floor(v / size)
 
 
-def _cover(low: str, high: str, grow: float, size: float) -> Column:
-    return F.explode(F.sequence(_bin(F.col(low) - grow, size), _bin(F.col(high) + grow, size)))
+def _span(low: Column, high: Column, grow: float, size: float) -> Column:
+    return F.sequence(_bin(low - grow, size), _bin(high + grow, size))
 
 
 def binned_points(points: DataFrame, x: str, y: str, size: float) -> DataFrame:
@@ -30,9 +30,11 @@ def binned_points(points: DataFrame, x: str, y: str, size: float) -> DataFrame:
 
 
 def binned_targets(targets: DataFrame, geom: str, grow: float, size: float) -> DataFrame:
-    boxed = targets.select("*", *(F.col(f"{geom}.{k}").alias(f"__{k}") for k in ("xmin", "ymin", "xmax", "ymax")))
-    rows = boxed.withColumn("__bx", _cover("__xmin", "__xmax", grow, size)).withColumn("__by", _cover("__ymin", "__ymax", grow, size))
-    return rows.drop("__xmin", "__ymin", "__xmax", "__ymax")
+    g = F.col(geom)
+    across, along = _span(g["xmin"], g["xmax"], grow, size), _span(g["ymin"], g["ymax"], grow, size)
+    bins = F.flatten(F.transform(across, lambda i: F.transform(along, lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    rows = targets.withColumn("__b", F.explode(bins))
+    return rows.withColumn("__bx", F.col("__b.i")).withColumn("__by", F.col("__b.j")).drop("__b")
 
 
 def distance_join(points: DataFrame, targets: DataFrame, radius: float, *, x: str = "x", y: str = "y", geom: str = "geom", keys: tuple[str, ...] = (), boxes: bool = False) -> DataFrame:
