@@ -9,9 +9,9 @@ depth-first order of its tree, with
 * ``position``: the position id of its first code point, counted along its own path,
 * ``attend``: the intervals [start, end) of its ancestors, which it may attend to.
 
-A leaf row maps each conversation to the node of its last turn. Sibling offsets are
-prefix sums in two steps over ``SIBLING_BUCKETS`` buckets, so that no task holds all the
-conversations that share a first turn.
+A leaf row maps each conversation to the node of its last turn. Offsets are prefix sums
+over range-sorted partitions, so that no task holds all the conversations that share a
+first turn, and a long conversation costs no more jobs than a short one.
 
 Template: ``<|im_start|>role\ntext<|im_end|>\n``. A control string inside a role or a text
 gets a backslash after its first character, one more if it has some already, so each is
@@ -30,7 +30,6 @@ from pyspark.sql.window import Window as W
 
 from urbanspark.functions.session import checkpointed
 
-SIBLING_BUCKETS = 1024
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 #: Strings of this and other common templates that a text must not smuggle in: fixed values.
 CONTROLS = ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -71,46 +70,40 @@ def turns(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "
 
 
 def tree(turned: DataFrame) -> DataFrame:
-    """(node, parent, tree, k, role, segment, length, start, position, attend) of each node.
+    """(node, parent, k, role, segment, tree, length, start, position, attend) of each node.
 
-    ``start`` counts code points in depth-first order, siblings ordered by node key.
+    Distinct conversations are sorted by their paths. The first in that order that goes
+    through a node emits it, so nodes in the order of (emitting conversation, depth) are in
+    depth-first order; ``start`` is a prefix sum in that order, in three steps: along a
+    conversation, over the conversations of a sorted partition, over the partitions. The
+    number of jobs doesn't depend on the length of any conversation.
     """
     nodes = checkpointed(turned.groupBy("node", "parent", "k").agg(F.min(F.struct("role", "text")).alias("t")).select("node", "parent", "k", F.col("t.role").alias("role"), segment(F.col("t.role"), F.col("t.text")).alias("segment")))
-    sizes = nodes.select("node", "parent", "k", F.char_length("segment").cast("long").alias("length"))
-    depth = nodes.agg(F.max("k")).first()[0] or 0
-
-    # Bottom up: the length of each subtree.
-    level = {}
-    below = None
-    for k in range(depth, 0, -1):
-        here = sizes.where(F.col("k") == k)
-        if below is not None:
-            here = here.join(below.groupBy("parent").agg(F.sum("total").alias("under")).withColumnRenamed("parent", "node"), "node", "left")
-        else:
-            here = here.withColumn("under", F.lit(None).cast("long"))
-        below = level[k] = checkpointed(here.select("node", "parent", "k", "length", (F.col("length") + F.coalesce("under", F.lit(0))).alias("total")))
-
-    # Top down: where each node starts.
-    placed = None
-    for k in range(1, depth + 1):
-        here = level[k]
-        if k == 1:
-            at = here.select("node", F.col("node").alias("tree"), "length", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("position"), F.array().cast("array<struct<start:long,end:long>>").alias("attend"))
-        else:
-            bucket = F.pmod(F.xxhash64("node"), F.lit(SIBLING_BUCKETS))
-            inner = W.partitionBy("parent", "b").orderBy("node").rowsBetween(W.unboundedPreceding, -1)
-            outer = W.partitionBy("parent").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-            here = here.withColumn("b", bucket)
-            before = here.groupBy("parent", "b").agg(F.sum("total").alias("s")).select("parent", "b", F.coalesce(F.sum("s").over(outer), F.lit(0)).alias("skip"))
-            here = here.select("*", F.coalesce(F.sum("total").over(inner), F.lit(0)).alias("earlier")).join(before, ["parent", "b"])
-            up = F.struct(F.col("start").alias("start"), (F.col("start") + F.col("above")).alias("end"))
-            above = last.select(F.col("node").alias("parent"), "tree", F.col("length").alias("above"), "start", "position", "attend")
-            at = here.join(above, "parent").select("node", "tree", "length", (F.col("start") + F.col("above") + F.col("skip") + F.col("earlier")).alias("start"), (F.col("position") + F.col("above")).alias("position"), F.concat("attend", F.array(up)).alias("attend"))
-        last = checkpointed(at)
-        placed = last if placed is None else placed.union(last)
-    if placed is None:
-        placed = sizes.select("node", F.col("node").alias("tree"), "length", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("position"), F.array().cast("array<struct<start:long,end:long>>").alias("attend"))
-    return nodes.join(placed, "node")
+    paths = turned.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("k", "node"))).alias("p")).select(F.transform("p", lambda s: s["node"]).alias("path"))
+    distinct = paths.groupBy(F.element_at("path", -1).alias("leaf")).agg(F.first("path").alias("path"))
+    ordered = checkpointed(distinct.select("path").orderBy("path").withColumn("r", F.monotonically_increasing_id()))
+    steps = ordered.select("r", F.posexplode("path").alias("i", "node"))
+
+    sizes = nodes.select("node", "k", F.char_length("segment").cast("long").alias("length"))
+    owned = sizes.join(steps.groupBy("node").agg(F.min("r").alias("r")), "node")
+    along = W.partitionBy("r").orderBy("k").rowsBetween(W.unboundedPreceding, -1)
+    owned = checkpointed(owned.withColumn("before", F.coalesce(F.sum("length").over(along), F.lit(0))).join(ordered.select("r", F.col("path")[0].alias("tree")), "r"))
+
+    totals = owned.groupBy("r").agg(F.sum("length").alias("total")).withColumn("part", F.shiftright("r", 33))
+    inner = W.partitionBy("part").orderBy("r").rowsBetween(W.unboundedPreceding, -1)
+    outer = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    parts = totals.groupBy("part").agg(F.sum("total").alias("s")).select("part", F.coalesce(F.sum("s").over(outer), F.lit(0)).alias("skip"))
+    bases = totals.withColumn("earlier", F.coalesce(F.sum("total").over(inner), F.lit(0))).join(parts, "part").select("r", (F.col("skip") + F.col("earlier")).alias("base"))
+    at = owned.join(bases, "r").withColumn("at", F.col("base") + F.col("before")).drop("base", "before")
+    first = at.where("k = 1").select("tree", F.col("at").alias("origin"))
+    placed = checkpointed(at.join(first, "tree").select("r", "node", "k", "tree", "length", (F.col("at") - F.col("origin")).alias("start")))
+
+    span = F.struct("i", F.col("start"), (F.col("start") + F.col("length")).alias("end"))
+    spans = steps.join(placed.select("node", "start", "length"), "node").groupBy("r").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    above = F.transform(F.slice("spans", 1, F.col("k") - 1), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    position = F.aggregate("attend", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    out = placed.join(spans, "r").select("node", "tree", "length", "start", above.alias("attend")).withColumn("position", position)
+    return nodes.join(out, "node")
 
 
 def read_back(leaves: DataFrame, emitted: DataFrame) -> DataFrame:
