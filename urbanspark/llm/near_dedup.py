@@ -8,7 +8,7 @@ collisions meets under one of them, and keys that a common passage spreads over
 texts are skipped. Each pair that meets is confirmed on the full sets.
 
 A posting list is never expanded into all its pairs while it can still shrink. A round
-links every member with one leader of its list, confirmed links contract components,
+links every member with one leader of its list (each list has its own), confirmed links contract components,
 and lists that lie in one component are done. What no leader round links any more is
 finished exactly: each pair of a list whose components differ is confirmed.
 
@@ -22,22 +22,31 @@ input are neither read nor returned.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urbanspark.functions.session import checkpointed
+from urbanspark.functions.session import broadcast_if_small, checkpointed
 from urbanspark.llm import textbytes as tb
 
-COORDINATES, MATCHES = 64, 34
-#: Leader rounds before the rest is finished pair by pair.
-LEADER_ROUNDS = 6
-#: So few remaining pairs are confirmed at once, without more leader rounds.
-FEW_PAIRS = 200_000
+#: A pair of similarity 0.8 has fewer than MATCHES collisions once in 1,200,000 times.
+COORDINATES, MATCHES = 48, 24
+#: Leader rounds at most, before the rest is finished pair by pair.
+LEADER_ROUNDS = 4
+#: Leader rounds before the rest may be finished. Every list has a leader of its own, so a round
+#: compares a set with as many members of its group as it has lists, and draws the group together.
+FIRST_ROUNDS = 1
+#: Lists that would compare at most so many pairs for each posting are finished pair by pair.
+PAIRS_PER_POSTING = 20
+#: Two bits of every coordinate are compared first, in the join itself. Pairs of similarity 0.8 differ
+#: in 10 of the 96 bits, and in more than this once in some million times; unrelated ones differ in 43.
+BITS_APART = 28
+#: Ids of candidate texts up to this many are broadcast to the texts (8 bytes each); more are joined by shuffle.
+BROADCAST_IDS = 500_000
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,17 +79,17 @@ def _set_hash(items: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def signatures(items: np.ndarray, bounds: np.ndarray, coordinates: int) -> np.ndarray:
-    """Posting keys: for each row with a set, one 64-bit key for each coordinate's minimum."""
+    """For each row with a set, 32 bits of each coordinate's minimum."""
     full = np.flatnonzero(np.diff(bounds) > 0)
-    keys = np.empty((len(full), coordinates), np.uint64)
+    minima = np.empty((len(full), coordinates), np.uint32)
     if not len(full):
-        return keys
+        return minima
     seeds = tb.mix(np.arange(1, 2 * coordinates + 1, dtype=np.uint64))
     at = bounds[full]
     for i in range(coordinates):
         least = np.minimum.reduceat(_permuted(items, seeds[2 * i], seeds[2 * i + 1]), at)
-        keys[:, i] = tb.mix(least + np.uint64(i + 1))
-    return keys
+        minima[:, i] = tb.mix(least + np.uint64(i + 1)) >> np.uint64(32)
+    return minima
 
 
 def _permuted(items: np.ndarray, a: np.uint64, b: np.uint64) -> np.ndarray:
@@ -95,11 +104,14 @@ def _features(batches: Iterator[pa.RecordBatch], size: int, coordinates: int) ->
             items, bounds = shingles(data, offsets, size)
             count = np.diff(bounds)
             full = count > 0
-            keys = signatures(items, bounds, coordinates)
+            minima = signatures(items, bounds, coordinates)
+            bits = np.zeros((2, end - first), np.int64)
+            for k in (0, 1):
+                bits[k, full] = ((minima >> np.uint32(k) & np.uint32(1)).astype(np.int64) << np.arange(coordinates)).sum(axis=1)
             at = np.concatenate([[0], np.cumsum(np.where(full, coordinates, 0))]).astype(np.int32)
-            posted = pa.ListArray.from_arrays(pa.array(at), pa.array(tb.signed(keys.ravel())), mask=pa.array(~full))
+            posted = pa.ListArray.from_arrays(pa.array(at), pa.array(minima.ravel().view(np.int32)), mask=pa.array(~full))
             node = pa.array(tb.signed(_set_hash(items, bounds)), mask=~full)
-            yield pa.RecordBatch.from_arrays([ids.slice(first, end - first), pa.array(count.astype(np.int64)), node, posted], ["doc_id", "n", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([ids.slice(first, end - first), pa.array(count.astype(np.int64)), node, posted, pa.array(bits[0]), pa.array(bits[1])], ["doc_id", "n", "node", "minima", "s0", "s1"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -119,7 +131,6 @@ def components(edges: DataFrame) -> DataFrame:
     pairs = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
     if pairs.isEmpty():
         return pairs.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-    before = None
     while True:
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -127,10 +138,20 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         pairs = checkpointed(small.where("a != b").distinct())
-        now = tuple(pairs.agg(F.count("*"), F.expr("sum(xxhash64(a, b) % 1000003)"), F.count_distinct("a")).first())
-        if now[:2] == before and now[0] == now[2]:
+        if _is_star_forest(pairs):
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-        before = now[:2]
+
+
+def _is_star_forest(pairs: DataFrame) -> bool:
+    """Whether every a has one b, and no b is an a itself."""
+    ends = pairs.select(F.col("a").alias("node"), F.lit(1).alias("up")).union(pairs.select("b", F.lit(None).cast("int")).distinct())
+    return ends.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+
+def _colliding(pairs: DataFrame, keys: DataFrame, matches: int) -> DataFrame:
+    """The pairs (a, b) whose signatures collide often enough."""
+    left, right = (keys.select(F.col("node").alias(k), F.col("keys").alias(f"k{k}")) for k in "ab")
+    return pairs.join(left, "a").join(right, "b").where(F.size(F.array_intersect("ka", "kb")) >= matches).select("a", "b")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, matches: int, similarity: tuple[int, int]) -> DataFrame:
@@ -151,61 +172,83 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shi
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    features = checkpointed(rows.mapInArrow(partial(_features, size=shingle_words, coordinates=coordinates), f"doc_id {id_type}, n long, node long, keys array<long>"))
+    features = checkpointed(rows.mapInArrow(partial(_features, size=shingle_words, coordinates=coordinates), f"doc_id {id_type}, n long, node long, minima array<int>, s0 long, s1 long"))
     full = features.where("node is not null")
-    nodes = checkpointed(full.groupBy("node").agg(F.min("doc_id").alias("least")))
-    candidates = checkpointed(_prefix_postings(full, nodes, coordinates, matches))
-    sets = _candidate_sets(rows, candidates, nodes, features, id_type, shingle_words)
-    comps = _contract(candidates, sets, matches, similarity, leader_rounds)
-    least = nodes.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "least")
+    nodes = checkpointed(full.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.max(c).alias(c) for c in ("n", "s0", "s1"))))
+    postings = checkpointed(_prefix_postings(full, nodes, matches))
+    keys = checkpointed(_candidate_keys(features, postings, nodes))
+    # First which sets have any partner by their signatures, then the links of those by their full sets.
+    partnered = _contract(postings, partial(_colliding, keys=keys, matches=matches), similarity, leader_rounds)
+    postings = checkpointed(postings.join(partnered.select("node"), "node", "left_semi"))
+    sets = _candidate_sets(rows, partnered, nodes, keys, shingle_words)
+    comps = _contract(postings, partial(_confirmed, sets=sets, matches=matches, similarity=similarity), similarity, leader_rounds)
+    least = nodes.join(comps, "node", "left").select(nodes["node"], F.coalesce("comp", "node").alias("comp"), "least")
     least = least.join(least.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("node", "component_id")
     found = features.select("doc_id", "n", "node").join(least, "node", "left")
     component = F.coalesce("component_id", "doc_id")
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _prefix_postings(full: DataFrame, nodes: DataFrame, coordinates: int, matches: int) -> DataFrame:
-    """(key, node, n) under the rarest keys of each set that could reach ``matches`` collisions."""
-    owner = full.join(nodes, (full["doc_id"].eqNullSafe(nodes["least"])) & (full["node"] == nodes["node"])).select(full["node"], full["n"], full["keys"])
-    posted = owner.select("node", "n", F.explode("keys").alias("key"))
-    often = posted.groupBy("key").agg(F.count("*").alias("f")).where("f > 1")
-    met = posted.join(often, "key").groupBy("node", "n").agg(F.sort_array(F.collect_set(F.struct("f", "key"))).alias("met"))
+def _key(coordinate, minimum):
+    """The posting key of a coordinate's value, as one long."""
+    return F.shiftleft(coordinate.cast("long"), 32).bitwiseOR(minimum.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def _prefix_postings(full: DataFrame, nodes: DataFrame, matches: int) -> DataFrame:
+    """(key, node, n, s0, s1) under the rarest keys of each set that could reach ``matches`` collisions."""
+    owner = full.join(nodes, (full["doc_id"].eqNullSafe(nodes["least"])) & (full["node"] == nodes["node"])).select(full["node"], full["minima"])
+    posted = owner.select("node", F.posexplode("minima").alias("i", "v")).select("node", _key(F.col("i"), F.col("v")).alias("key"))
+    often = posted.groupBy("key").agg(F.count("*").cast("int").alias("f")).where("f > 1")
+    met = posted.join(often, "key").groupBy("node").agg(F.sort_array(F.collect_set(F.struct("f", "key"))).alias("met"))
     # Keys met by nobody else come first in the order of rarity, so they use up the prefix.
     prefix = F.slice("met", 1, F.size("met") - matches + 1)
-    return met.where(F.size("met") >= matches).select("node", "n", F.explode(prefix).alias("p")).select("node", "n", F.col("p.key").alias("key"))
+    kept = met.where(F.size("met") >= matches).select("node", F.explode(prefix).alias("p")).select("node", F.col("p.key").alias("key"))
+    return kept.join(nodes.drop("least"), "node")
+
+
+def _candidate_keys(features: DataFrame, postings: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, keys): all keys of the sets that have a posting."""
+    ids = nodes.join(postings.select("node").distinct(), "node", "left_semi").select(F.col("least").alias("doc_id"), "node")
+    signed = features.join(ids, (features["doc_id"].eqNullSafe(ids["doc_id"])) & (features["node"] == ids["node"]), "left_semi")
+    return signed.dropDuplicates(["doc_id", "node"]).select("node", F.transform("minima", lambda v, i: _key(i, v)).alias("keys"))
 
 
-def _candidate_sets(rows: DataFrame, candidates: DataFrame, nodes: DataFrame, features: DataFrame, id_type: str, size: int) -> DataFrame:
-    """(node, items, keys) of the sets that have a posting."""
-    wanted = candidates.select("node").distinct()
+def _candidate_sets(rows: DataFrame, wanted: DataFrame, nodes: DataFrame, keys: DataFrame, size: int) -> DataFrame:
+    """(node, items, keys) of the wanted sets, read from one text each."""
+    wanted = wanted.select("node")
     ids = nodes.join(wanted, "node", "left_semi").select(F.col("least").alias("doc_id")).distinct()
-    texts = rows.join(ids, rows["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
-    items = texts.mapInArrow(partial(_sets, size=size), "node long, items array<long>")
-    keys = features.where("node is not null").join(ids, features["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("node", "keys")
-    return checkpointed(items.join(wanted, "node", "left_semi").dropDuplicates(["node"]).join(keys.dropDuplicates(["node"]), "node"))
+    few = broadcast_if_small(checkpointed(ids), BROADCAST_IDS)
+    texts = rows.join(few, rows["doc_id"].eqNullSafe(few["doc_id"]), "left_semi").select("text")
+    items = texts.mapInArrow(partial(_sets, size=size), "node long, items array<long>").dropDuplicates(["node"])
+    return checkpointed(items.join(keys.join(wanted, "node", "left_semi"), "node"))
+
+
+def _contract(postings: DataFrame, confirm: Callable[[DataFrame], DataFrame], similarity: tuple[int, int], leader_rounds: int) -> DataFrame:
+    """(node, comp) of the nodes that have links; ``confirm`` keeps the true ones of pairs (a, b)."""
 
+    def near(x: Callable, y: Callable) -> Column:
+        apart = F.bit_count(x("s0").bitwiseXOR(y("s0"))) + F.bit_count(x("s1").bitwiseXOR(y("s1")))
+        sizes = F.least(x("n"), y("n")) * similarity[1] >= F.greatest(x("n"), y("n")) * similarity[0]
+        return sizes & (apart <= BITS_APART) & (x("comp") != y("comp"))
 
-def _contract(postings: DataFrame, sets: DataFrame, matches: int, similarity: tuple[int, int], leader_rounds: int) -> DataFrame:
-    """(node, comp) of the nodes that have links."""
-    near = lambda x, y: F.least(x, y) * similarity[1] >= F.greatest(x, y) * similarity[0]
     open_ = postings.withColumn("comp", F.col("node"))
     comps = tried = None
     turn = 0
     while not open_.isEmpty():
-        finish = turn >= leader_rounds or _cross_pairs(open_) <= FEW_PAIRS
+        finish = turn >= leader_rounds or (turn >= FIRST_ROUNDS and _cross_pairs(open_) <= PAIRS_PER_POSTING)
         if finish:
-            other = open_.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            met = open_.select("key", F.col("node").alias("a"), "n", "comp").join(other, "key")
-            pairs = met.where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("cb")) & near(F.col("n"), F.col("nb"))).select("a", "b")
+            other = open_.select("key", *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "s0", "s1", "comp")))
+            met = open_.join(other, "key").where((F.col("node") < F.col("o_node")) & near(F.col, lambda c: F.col(f"o_{c}")))
+            pairs = met.select(F.col("node").alias("a"), F.col("o_node").alias("b"))
         else:
-            lead = open_.groupBy("key").agg(F.min_by(F.struct("node", "n", "comp"), F.xxhash64("node", F.lit(turn))).alias("lead"))
-            met = open_.join(lead, "key").where((F.col("comp") != F.col("lead.comp")) & near(F.col("n"), F.col("lead.n")))
+            lead = open_.groupBy("key").agg(F.min_by(F.struct("node", "n", "s0", "s1", "comp"), F.xxhash64("node", "key", F.lit(turn))).alias("lead"))
+            met = open_.join(lead, "key").where(near(F.col, lambda c: F.col(f"lead.{c}")))
             pairs = met.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = checkpointed(pairs)
-        links = checkpointed(_confirmed(pairs, sets, matches, similarity))
+        links = checkpointed(confirm(pairs))
         linked = not links.isEmpty()
         if linked:
             comps = components(links if comps is None else links.union(comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
@@ -222,10 +265,11 @@ def _contract(postings: DataFrame, sets: DataFrame, matches: int, similarity: tu
     return comps.union(comps.select(F.col("comp").alias("node"), "comp").distinct())
 
 
-def _cross_pairs(open_: DataFrame) -> int:
-    """Pairs of different components that the lists would make, counted without making them."""
+def _cross_pairs(open_: DataFrame) -> float:
+    """Pairs of different components that the lists would compare, for each posting; counted, not made."""
     sizes = open_.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-    return int(sizes.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0)
+    pairs, postings = sizes.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s")).first()
+    return pairs / postings if postings else 0.0
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
