@@ -363,6 +363,29 @@ def test_lm_training_helps(spark, docs):
     assert lm_score.score(docs.where("false")).count() == 0
 
 
+def test_lm_counts_every_word_and_trains_on_every_position(spark):
+    texts = [" ".join(f"w{(i * i + 7 * j) % 3001}" for i in range(j, j + 400)) for j in range(40)] + ["A rare\tword", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    units, weights = lm_score.fit(df)
+    words = Counter(w for t in texts for w in (t or "").translate(AZ).split())
+    assert weights.seen == sum(words.values())
+    of = lambda w: lm_score.buckets(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0]
+    table = {r["word"]: r for r in units.table.collect()}
+    assert len(table) == len(words)
+    own = {w: table[of(w)] for w in words}
+    mass = Counter()
+    for w, n in words.items():
+        mass[own[w]["unit"]] += n
+    assert all(own[w]["share"] == pytest.approx(np.log(n / mass[own[w]["unit"]])) for w, n in words.items())
+    # Classes follow the frequency order.
+    by_unit = {}
+    for w, n in words.items():
+        by_unit.setdefault(own[w]["unit"], []).append(n)
+    order = [by_unit[u] for u in sorted(by_unit)]
+    assert all(min(a) >= max(b) for a, b in zip(order, order[1:], strict=False))
+    assert sorted(by_unit)[: lm_score.FREQUENT] == list(range(lm_score.FREQUENT))
+
+
 # SQL and the pipeline
 
 

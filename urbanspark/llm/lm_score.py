@@ -3,14 +3,20 @@
 A text's score is the sum over its words of log P(word | the words on both sides). A
 window network gives it: each of the ``WINDOW`` words before and after has an embedding
 by place, their sum goes through tanh, and a softmax predicts the masked word's unit.
-The most frequent hash buckets of words are units of their own; the others share class
-units, and P(word) inside a class is the bucket's share of the class in the corpus.
+The most frequent words are units of their own; the others share class units, bands of
+the frequency order of about equal mass, and P(word) inside a class is the word's share
+of the class in the corpus.
 
-Everything comes from the whole corpus: bucket counts are summed over all documents, and
-the network is trained in numpy by all tasks at once, each passing over every text of its
-partition with every ``MASK_EVERY``-th word masked in turn, all from the same start;
-their weights are averaged by the number of masked words. What is broadcast has a fixed
-size. A different partitioning gives slightly different weights, and so scores.
+Everything comes from the whole corpus: each distinct word is counted over all documents
+in a table that grows with the corpus and is joined, never broadcast, and the network is
+trained in numpy by all tasks at once, each passing over every text of its partition with
+every word masked once, all from the same start; their weights are averaged by the number
+of masked words. What is broadcast has a fixed size. A different partitioning gives
+slightly different weights, and so scores.
+
+Texts are cut into slices of whole documents. A slice asks for each of its distinct words
+once, so a frequent word has one row for each slice in the join, however often it occurs.
+Words are held by 64-bit hashes.
 
 Rows: one for each row of the documents. Words are runs outside space and U+0009..U+000D,
 A-Z lower-cased, of whole texts; null and empty texts have no words, log_prob 0 and a null
@@ -25,29 +31,52 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from urbanspark.functions.session import checkpointed
 from urbanspark.llm import textbytes as tb
 
-BUCKETS = 1 << 16
 FREQUENT, CLASSES = 128, 63
 UNITS = FREQUENT + CLASSES
 #: The unit of a place beyond either end of a text.
 OUTSIDE = UNITS
 WINDOW, WIDTH = 2, 24
-MASK_EVERY = 8
 BLOCK = 2048
+SLICE_BYTES = 4 << 20
+#: Frequency bins for each factor e of the count; classes are runs of bins.
+BINS = 16
+_CODEC = "zstd"
+
+
+class Lookup:
+    """A column of the word table by word hash, fetched to the driver for the words asked for only."""
+
+    def __init__(self, table: DataFrame, column: str, unseen: float):
+        self.table, self.column, self.unseen, self.known = table, column, unseen, {}
+
+    def __getitem__(self, word):
+        asked = np.atleast_1d(word).tolist()
+        new = list(set(asked) - set(self.known))
+        if new:
+            found = dict(self.table.where(F.col("word").isin(new)).select("word", self.column).collect())
+            self.known.update((w, found.get(w, self.unseen)) for w in new)
+        values = np.array([self.known[w] for w in asked])
+        return values if np.ndim(word) else values[0]
 
 
 @dataclass
 class Units:
-    """The unit of each bucket, the log share of the bucket in its unit, and log P(unit)."""
+    """(word, unit, share) of each word of the corpus, share in logs; those of any other word; log P(unit)."""
 
-    unit: np.ndarray
-    share: np.ndarray
+    table: DataFrame
+    unseen: tuple[int, float]
     log_p: np.ndarray
 
+    def __post_init__(self):
+        self.unit, self.share = (Lookup(self.table, c, u) for c, u in zip(("unit", "share"), self.unseen, strict=True))
+
 
 @dataclass
 class Weights:
@@ -55,15 +84,16 @@ class Weights:
     hidden: np.ndarray  # WIDTH
     out: np.ndarray  # WIDTH x UNITS
     bias: np.ndarray  # UNITS
+    seen: int = 0  # words trained on
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in (self.context, self.hidden, self.out, self.bias)])
 
     @staticmethod
-    def of(flat: np.ndarray) -> Weights:
+    def of(flat: np.ndarray, seen: int = 0) -> Weights:
         shapes = [(2 * WINDOW, UNITS + 1, WIDTH), (WIDTH,), (WIDTH, UNITS), (UNITS,)]
         parts = np.split(flat.astype(np.float32), np.cumsum([int(np.prod(s)) for s in shapes])[:-1])
-        return Weights(*(p.reshape(s).copy() for p, s in zip(parts, shapes, strict=True)))
+        return Weights(*(p.reshape(s).copy() for p, s in zip(parts, shapes, strict=True)), seen)
 
 
 def start(units: Units, seed: int = 11) -> Weights:
@@ -73,32 +103,104 @@ def start(units: Units, seed: int = 11) -> Weights:
 
 
 def buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, row) of every word."""
+    """(hash, row) of every word."""
     lower = tb.LOWER[data]
     starts, ends, rows = tb.words(lower, offsets)
-    return (tb.hashes(lower, starts, ends) >> np.uint64(48)).astype(np.int64), rows
+    return tb.signed(tb.hashes(lower, starts, ends)), rows
+
 
+def _list(values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(BUCKETS, np.int64)
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each slice: its ids, their numbers of words, the distinct words, how often, and each word's place among them."""
+    number = TaskContext.get().partitionId() << 33
     for batch in batches:
-        for _, _, data, offsets in tb.text_slices(batch.column(0)):
-            total += np.bincount(buckets(data, offsets)[0], minlength=BUCKETS)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+        for first, end, data, offsets in tb.text_slices(batch.column(1), SLICE_BYTES):
+            word, rows = buckets(data, offsets)
+            n = np.bincount(rows, minlength=end - first)
+            words, at, often = np.unique(word, return_inverse=True, return_counts=True)
+            packed = pa.compress(at.astype(np.int32).tobytes(), _CODEC, asbytes=True)
+            ids = batch.column(0).slice(first, end - first)
+            columns = [pa.array([number]), _list(ids), _list(pa.array(n)), _list(pa.array(words)), _list(pa.array(often)), pa.array([packed])]
+            yield pa.RecordBatch.from_arrays(columns, ["slice", "ids", "n", "words", "often", "at"])
+            number += 1
+
+
+def sliced(docs: DataFrame) -> DataFrame:
+    """The slices of ``docs`` (doc_id, text)."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return checkpointed(docs.select("doc_id", "text").mapInArrow(_slices, f"slice long, ids array<{id_type}>, n array<long>, words array<long>, often array<long>, at binary"))
+
+
+def bands(mass: dict[int, int]) -> dict[int, int]:
+    """The class of each frequency bin, from the most frequent down, in at most CLASSES of about equal mass."""
+    out, left, own, k = {}, sum(mass.values()), 0, 0
+    share = left / CLASSES
+    for b in sorted(mass, reverse=True):
+        if own and own + mass[b] / 2 > share and k < CLASSES - 1:
+            left -= own
+            own, k = 0, k + 1
+            share = left / (CLASSES - k)
+        out[b] = k
+        own += mass[b]
+    return out
 
 
-def units_of(docs: DataFrame) -> Units:
-    """Units from the word counts of all documents."""
-    n = np.zeros(BUCKETS)
-    for r in docs.select("text").mapInArrow(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        n[r["bucket"]] = r["n"]
-    unit = FREQUENT + np.arange(BUCKETS) % CLASSES
-    top = np.argsort(-n, kind="stable")[:FREQUENT]
-    unit[top] = np.arange(FREQUENT)
-    mass = np.bincount(unit, weights=n, minlength=UNITS)
-    share = np.log(np.maximum(n, 0.5)) - np.log(np.maximum(mass, 1))[unit]
-    return Units(unit.astype(np.int16), share, np.log((mass + 1) / (mass.sum() + UNITS)))
+def units_of(slices: DataFrame) -> Units:
+    """Units from the word counts of all slices."""
+    spark = slices.sparkSession
+    each = slices.select(F.explode(F.arrays_zip("words", "often")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.often").alias("n"))
+    counts = checkpointed(each.groupBy("word").agg(F.sum("n").alias("n")))
+    binned = counts.withColumn("bin", F.floor(F.log("n") * BINS).cast("int"))
+    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    mass = np.zeros(UNITS)
+    mass[: len(top)] = [r["n"] for r in top]
+    rest = {r["bin"]: r["n"] for r in binned.where(~F.col("word").isin([r["word"] for r in top])).groupBy("bin").agg(F.sum("n").alias("n")).collect()}
+    band = bands(rest)
+    for b, n in rest.items():
+        mass[FREQUENT + band[b]] += n
+    own = spark.createDataFrame([(r["word"], i) for i, r in enumerate(top)], "word long, own int")
+    shared = spark.createDataFrame([(b, FREQUENT + k, float(np.log(mass[FREQUENT + k]))) for b, k in band.items()], "bin int, class int, log_mass double")
+    table = binned.join(F.broadcast(own), "word", "left").join(F.broadcast(shared), "bin", "left")
+    share = F.when(F.col("own").isNotNull(), 0.0).otherwise(F.log("n") - F.col("log_mass"))
+    rarest = FREQUENT + max(band.values(), default=0)
+    unseen = rarest, float(np.log(0.5) - np.log(max(mass[rarest], 1)))
+    return Units(table.select("word", F.coalesce("own", "class").alias("unit"), share.alias("share")), unseen, np.log((mass + 1) / (mass.sum() + UNITS)))
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            ids, n, at, found = (batch.column(k).slice(i, 1) for k in range(4))
+            n = n.flatten().to_numpy(zero_copy_only=False)
+            place = np.frombuffer(pa.decompress(at[0].as_py(), int(n.sum()) * 4, _CODEC), np.int32) if n.sum() else np.zeros(0, np.int32)
+            found = found.flatten()
+            unit = found.field("unit").to_numpy(zero_copy_only=False).astype(np.uint8)[place]
+            share = found.field("share").to_numpy(zero_copy_only=False).astype(float)[place]
+            total = np.bincount(np.repeat(np.arange(len(n)), n), weights=share, minlength=len(n)).astype(float)
+            packed = pa.compress(unit.tobytes(), _CODEC, asbytes=True)
+            yield pa.RecordBatch.from_arrays([_list(ids.flatten()), _list(pa.array(n)), _list(pa.array(total)), pa.array([packed])], ["ids", "n", "share", "unit"])
+
+
+def encoded(slices: DataFrame, units: Units) -> DataFrame:
+    """(ids, n, share, unit) of each slice: log shares summed for each document, and the packed units of all its words."""
+    asked = slices.select("slice", F.posexplode("words").alias("i", "word"))
+    unit, share = F.coalesce("unit", F.lit(units.unseen[0])), F.coalesce("share", F.lit(units.unseen[1]))
+    found = asked.join(units.table, "word", "left").groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("i", unit.alias("unit"), share.alias("share")))).alias("found"))
+    joined = slices.select("slice", "ids", "n", "at").join(found, "slice", "left")
+    kinds = slices.schema["ids"].dataType.simpleString()
+    return checkpointed(joined.select("ids", "n", "at", "found").mapInArrow(_units, f"ids {kinds}, n array<long>, share array<double>, unit binary"))
+
+
+def _unpacked(n: pa.Array, unit: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(numbers of words of the documents, unit, row) of each slice."""
+    for i in range(len(n)):
+        own = n.slice(i, 1).flatten().to_numpy(zero_copy_only=False)
+        total = int(own.sum())
+        units = np.frombuffer(pa.decompress(unit[i].as_py(), total, _CODEC), np.uint8) if total else np.zeros(0, np.uint8)
+        yield own, units.astype(np.int16), np.repeat(np.arange(len(own)), own)
 
 
 def windows(unit: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -145,21 +247,18 @@ def step(weights: Weights, around: np.ndarray, unit: np.ndarray, rate: float) ->
     weights.out -= h.T @ p
     weights.bias -= p.sum(axis=0)
     weights.hidden -= d.sum(axis=0)
-    for k in range(2 * WINDOW):
-        np.subtract.at(weights.context[k], around[k], d)
+    where = (around + np.arange(2 * WINDOW)[:, None] * (UNITS + 1))[:, :, None] * WIDTH + np.arange(WIDTH)
+    total = np.bincount(where.ravel(), np.broadcast_to(d, where.shape).ravel(), weights.context.size)
+    weights.context -= total.reshape(weights.context.shape).astype(np.float32)
 
 
-def _train(batches: Iterator[pa.RecordBatch], units: Units, batch_size: int, rate: float) -> Iterator[pa.RecordBatch]:
+def _train(batches: Iterator[pa.RecordBatch], weights: Weights, batch_size: int, rate: float) -> Iterator[pa.RecordBatch]:
     """One task's weights times its number of masked words, and that number at index -1."""
-    weights, seen = start(units), 0
+    weights, seen = Weights.of(weights.flat()), 0  # a copy: the next task of this worker starts from the same
     rng = np.random.default_rng(5)
     for batch in batches:
-        for turn, (_, _, data, offsets) in enumerate(tb.text_slices(batch.column(0))):
-            bucket, rows = buckets(data, offsets)
-            if not len(bucket):
-                continue
-            unit = units.unit[bucket]
-            masked = rng.permutation(np.arange(turn % min(MASK_EVERY, len(unit)), len(unit), MASK_EVERY))
+        for _, unit, rows in _unpacked(batch.column(0), batch.column(1)):
+            masked = rng.permutation(len(unit))
             around = windows(unit, rows)[:, masked]
             target = unit[masked]
             for i in range(0, len(masked), batch_size):
@@ -171,37 +270,49 @@ def _train(batches: Iterator[pa.RecordBatch], units: Units, batch_size: int, rat
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(flat))), pa.array(np.concatenate([[seen], flat]))], ["at", "value"])
 
 
-def fit(docs: DataFrame, *, batch_size: int = 128, rate: float = 1.0) -> tuple[Units, Weights]:
-    """Units and network from all of ``docs`` (text)."""
-    units = units_of(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(units)
-    trained = docs.select("text").mapInArrow(lambda batches: _train(batches, shared.value, batch_size, rate), "at long, value double")
-    sums = trained.groupBy("at").agg(F.sum("value").alias("value")).collect()
+def trained(texts: DataFrame, units: Units, batch_size: int, rate: float) -> Weights:
+    """The network from all encoded slices."""
+    first = start(units)
+    shared = texts.sparkSession.sparkContext.broadcast(first)
+    each = texts.select("n", "unit").mapInArrow(lambda batches: _train(batches, shared.value, batch_size, rate), "at long, value double")
+    sums = each.groupBy("at").agg(F.sum("value").alias("value")).collect()
     if not sums:
-        return units, start(units)
+        return first
     flat = np.zeros(len(sums))
     for r in sums:
         flat[r["at"]] = r["value"]
-    return units, Weights.of(flat[:-1] / flat[-1])
+    return Weights.of(flat[:-1] / flat[-1], int(flat[-1]))
+
+
+def _modelled(docs: DataFrame, batch_size: int, rate: float) -> tuple[Units, Weights, DataFrame]:
+    slices = sliced(docs)
+    units = units_of(slices)
+    texts = encoded(slices, units)
+    return units, trained(texts, units, batch_size, rate), texts
+
+
+def fit(docs: DataFrame, *, batch_size: int = 128, rate: float = 1.0) -> tuple[Units, Weights]:
+    """Units and network from all of ``docs`` (doc_id, text)."""
+    return _modelled(docs, batch_size, rate)[:2]
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: tuple[Units, Weights] | None = None) -> DataFrame:
     """(doc_id, n_words, log_prob, mean_log_prob), one row for each row of ``docs``."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
+    if model is None:
+        _, weights, texts = _modelled(docs, 128, 1.0)
+    else:
+        weights, texts = model[1], encoded(sliced(docs), model[0])
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, weights = shared.value
         for batch in batches:
-            for first, end, data, offsets in tb.text_slices(batch.column(1)):
-                bucket, rows = buckets(data, offsets)
-                unit = units.unit[bucket]
-                each = log_probabilities(weights, windows(unit, rows), unit) + units.share[bucket]
-                bounds = tb.row_starts(rows, end - first)
-                n = np.diff(bounds)
-                total = np.round(np.bincount(rows, weights=each, minlength=end - first).astype(float), 6)
+            for i, (n, unit, rows) in enumerate(_unpacked(batch.column(1), batch.column(3))):
+                each = log_probabilities(shared.value, windows(unit, rows), unit)
+                share = batch.column(2).slice(i, 1).flatten().to_numpy(zero_copy_only=False)
+                total = np.round(np.bincount(rows, weights=each, minlength=len(n)) + share, 6)
                 mean = pa.array(np.round(total / np.maximum(n, 1), 6), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(n.astype(np.int64)), pa.array(total), mean], ["doc_id", "n_words", "log_prob", "mean_log_prob"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1).flatten(), pa.array(n), pa.array(total), mean], ["doc_id", "n_words", "log_prob", "mean_log_prob"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {id_type}, n_words long, log_prob double, mean_log_prob double")
+    return texts.mapInArrow(run, f"doc_id {id_type}, n_words long, log_prob double, mean_log_prob double")
