@@ -107,6 +107,16 @@ def test_line_dedup_odd_rows(spark, odd):
     assert sorted(line_dedup.stage(spark, odd, SF).columns) == sorted(odd.columns)
 
 
+def test_line_dedup_stage_drops_lines_of_two_documents(spark):
+    twice = " ".join(f"passage{i}" for i in range(60))
+    own = "Own line of text {} stays where it is"
+    rows = [(i, f"{own.format('abcd'[i] * 3)}\n" + (twice if i in (1, 3) else f"Text {'abcd'[i]} has no passage at all") + ("\nAll rights reserved." if i < 3 else "\nTwo only") + ("\nTwo only" if i == 2 else "")) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in line_dedup.stage(spark, df, SF).collect()}
+    assert [twice in out[i] for i in range(4)] == [False, True, False, False]
+    assert ["All rights" in out[i] for i in range(3)] == [True, False, False] and "Two only" in out[2] and "Two only" in out[3]
+
+
 # 3
 
 

@@ -9,11 +9,15 @@ its places stay, and recurs if at least ``min_docs`` documents have it. The line
 recurring template are dropped from all documents but the first, the one of least
 doc_id, which keeps them.
 
+The pipeline's stage also drops repeats that no template is needed for (``exact_lines``):
+a line whose tokens, digits too, stand in at least two documents goes from all but the
+first, and a line of fewer than ``min_tokens`` tokens if at least ``short_docs`` have it.
+
 Only leaves that enough documents reach are generalised, and only their distinct lines
 are read by token; a line that thousands share is one row there, with its document count.
 
 Rows: tokens are runs outside space and U+0009..U+000D. Lines of fewer than ``min_tokens``
-tokens are never dropped. Null texts have no lines and stay null. Rows with the same
+tokens never belong to a template. Null texts have no lines and stay null. Rows with the same
 doc_id count as one document for recurrence and each lose the lines that the other has
 too; documents with null doc_id count as one document. An empty table gives an empty
 result. Other columns are kept by ``drop_lines`` and neither read nor returned otherwise.
@@ -33,17 +37,20 @@ from urbanspark.functions.session import checkpointed
 from urbanspark.llm import textbytes as tb
 
 DEPTH, MIN_TOKENS, MIN_DOCS = 3, 5, 3
+#: Documents that make an identical line recur, and one of fewer than MIN_TOKENS tokens.
+EXACT_DOCS, SHORT_DOCS = 2, 3
 #: Share of a template's places that must stay, in tenths.
 CONSTANT_TENTHS = 8
 _FIELD = np.uint64(0x2A3C2A3E)
 
 
-def parse(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
+def parse(data: np.ndarray, offsets: np.ndarray, depth: int, masked: bool = True) -> tuple[np.ndarray, ...]:
     """(row, line number, token count, leaf, line hash, token bounds, tokens) of the lines with a token."""
     starts, ends, rows = tb.words(data, offsets)
     token = tb.hashes(data, starts, ends)
-    digits = np.concatenate([[0], np.cumsum(tb.DIGIT[data])])
-    token[digits[ends] > digits[starts]] = _FIELD
+    if masked:
+        digits = np.concatenate([[0], np.cumsum(tb.DIGIT[data])])
+        token[digits[ends] > digits[starts]] = _FIELD
     breaks = np.concatenate([[0], np.cumsum(data == 10)])
     line = breaks[starts] - breaks[offsets[rows]]
     new = np.ones(len(starts), bool)
@@ -71,6 +78,14 @@ def _lines(batches: Iterator[pa.RecordBatch], depth: int, min_tokens: int) -> It
             yield pa.RecordBatch.from_arrays([ids, pa.array(line[keep].astype(np.int32)), pa.array(count[keep].astype(np.int32)), pa.array(tb.signed(leaf[keep])), pa.array(tb.signed(text[keep]))], ["doc_id", "line", "n", "leaf", "text"])
 
 
+def _whole_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, end, data, offsets in tb.text_slices(batch.column(1)):
+            row, line, count, _, text, _, _ = parse(data, offsets, 0, masked=False)
+            ids = batch.column(0).slice(first, end - first).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(line.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(tb.signed(text))], ["doc_id", "line", "n", "text"])
+
+
 def _tokens(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
     """The tokens of the wanted lines of each text: column 1 holds their numbers."""
     for batch in batches:
@@ -111,6 +126,16 @@ def recurring_lines(docs: DataFrame, *, depth: int = DEPTH, min_tokens: int = MI
     return held.join(recurring, ["leaf", "form"]).where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "line").distinct()
 
 
+def exact_lines(docs: DataFrame, *, min_tokens: int = MIN_TOKENS, exact_docs: int = EXACT_DOCS, short_docs: int = SHORT_DOCS) -> DataFrame:
+    """(doc_id, line) of every line of ``docs`` (doc_id, text) that stands identically in an earlier document, if enough have it."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    lines = checkpointed(docs.select("doc_id", "text").mapInArrow(_whole_lines, f"doc_id {id_type}, line int, n int, text long"))
+    owners = lines.select("text", "n", "doc_id").distinct().groupBy("text", "n").agg(F.count("*").alias("d"), F.min("doc_id").alias("first"))
+    enough = F.when(F.col("n") < min_tokens, short_docs).otherwise(exact_docs)
+    recurring = owners.where(F.col("d") >= enough).drop("d")
+    return lines.join(recurring, ["text", "n"]).where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "line").distinct()
+
+
 def drop_lines(docs: DataFrame, drops: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the lines named in ``drops`` (doc_id, line); adds __dropped, their numbers."""
     per_doc = drops.groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_set("line")).alias("__dropped"))
@@ -131,7 +156,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines go; a document whose every word was in them goes too. n_chars is renewed."""
     named = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    left = drop_lines(docs, recurring_lines(named))
+    left = drop_lines(docs, recurring_lines(named).union(exact_lines(named)))
     emptied = F.col("__dropped").isNotNull() & (F.regexp_replace("text", r"[\x20\x09-\x0D]+", "") == "")
     left = left.where(~F.coalesce(emptied, F.lit(False)))
     if "n_chars" in docs.columns:
