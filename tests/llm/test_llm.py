@@ -117,6 +117,15 @@ def test_line_dedup_stage_drops_lines_of_two_documents(spark):
     assert ["All rights" in out[i] for i in range(3)] == [True, False, False] and "Two only" in out[2] and "Two only" in out[3]
 
 
+def test_line_dedup_stage_tests_constants_in_every_leaf(spark):
+    numbers = ["12 7 3 9 4", "5 5 8 1 2", "1 2 3 4 5", "6 6 6 7 8"]
+    call = "Call 555-1234 or 555-5678 today please"
+    rows = [(i, f"{numbers[i]}\n{call}\nCall 1 or 2 on {'abcd'[i]}") for i in range(4)]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()}
+    assert [numbers[i] in out[i] for i in range(4)] == [True] * 4
+    assert [call in out[i] for i in range(4)] == [True, False, False, False]
+
+
 # 3
 
 

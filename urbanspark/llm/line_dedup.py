@@ -12,6 +12,8 @@ doc_id, which keeps them.
 The pipeline's stage also drops repeats that no template is needed for (``exact_lines``):
 a line whose tokens, digits too, stand in at least two documents goes from all but the
 first, and a line of fewer than ``min_tokens`` tokens if at least ``short_docs`` have it.
+There a leaf of one kind of line meets the constant share like any other, so rows of
+different numbers stay.
 
 Only leaves that enough documents reach are generalised, and only their distinct lines
 are read by token; a line that thousands share is one row there, with its document count.
@@ -98,8 +100,11 @@ def _tokens(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(tb.signed(leaf[keep])), pa.array(tb.signed(text[keep])), pa.ListArray.from_arrays(pa.array(bounds), pa.array(tb.signed(values)))], ["leaf", "text", "tokens"])
 
 
-def recurring_lines(docs: DataFrame, *, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, constant_tenths: int = CONSTANT_TENTHS) -> DataFrame:
-    """(doc_id, line) of every line to drop from ``docs`` (doc_id, text)."""
+def recurring_lines(docs: DataFrame, *, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, constant_tenths: int = CONSTANT_TENTHS, alone_whole: bool = True) -> DataFrame:
+    """(doc_id, line) of every line to drop from ``docs`` (doc_id, text).
+
+    ``alone_whole``: the one line of a leaf is a template whatever share of it stays, as in op2's SQL.
+    """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     lines = checkpointed(docs.select("doc_id", "text").mapInArrow(partial(_lines, depth=depth, min_tokens=min_tokens), f"doc_id {id_type}, line int, n int, leaf long, text long").distinct())
     once = lines.groupBy("leaf", "text", "n", "doc_id").agg(F.min("line").alias("line"))
@@ -107,9 +112,10 @@ def recurring_lines(docs: DataFrame, *, depth: int = DEPTH, min_tokens: int = MI
     reached = distinct.groupBy("leaf").agg(F.sum("docs").alias("d"), F.count("*").alias("kinds")).where(F.col("d") >= min_docs).select("leaf", "kinds")
     distinct = checkpointed(distinct.join(reached, "leaf"))
 
-    # A leaf of one line is its own template; others are generalised by place.
-    alone = distinct.where("kinds = 1").select("leaf", "text", F.lit(0).cast("long").alias("form"))
-    mixed = distinct.where("kinds > 1").select("leaf", "text", "n", "docs", "carrier")
+    # A leaf of one line may be its own template; others are generalised by place.
+    single = (F.col("kinds") == 1) & F.lit(alone_whole)
+    alone = distinct.where(single).select("leaf", "text", F.lit(0).cast("long").alias("form"))
+    mixed = distinct.where(~single).select("leaf", "text", "n", "docs", "carrier")
     wanted = mixed.groupBy(F.col("carrier.doc_id").alias("__id")).agg(F.collect_set("carrier.line").alias("wanted"))
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["__id"])).select("text", "wanted")
     tokens = texts.mapInArrow(partial(_tokens, depth=depth), "leaf long, text long, tokens array<long>").dropDuplicates(["leaf", "text"])
@@ -156,7 +162,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines go; a document whose every word was in them goes too. n_chars is renewed."""
     named = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    left = drop_lines(docs, recurring_lines(named).union(exact_lines(named)))
+    left = drop_lines(docs, recurring_lines(named, alone_whole=False).union(exact_lines(named)))
     emptied = F.col("__dropped").isNotNull() & (F.regexp_replace("text", r"[\x20\x09-\x0D]+", "") == "")
     left = left.where(~F.coalesce(emptied, F.lit(False)))
     if "n_chars" in docs.columns:
