@@ -435,3 +435,26 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark, docs):
     assert not any(brute_contamination(r["text"], items)[4] for r in left.limit(20).collect())
     last = corpus_pipeline.STAGES[-1][1](spark, left, SF)
     assert last.count() == left.count() and last.where("NOT exact").count() == 0
+
+
+def test_stages_judge_rows_not_ids(spark, docs):
+    clean = [r["text"] for r in docs.where("lang = 'en' AND n_chars BETWEEN 400 AND 3000").orderBy("doc_id").limit(6).collect()]
+    frame = lambda rows: spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").repartition(3)
+    texts = lambda df: sorted(r["text"] for r in df.collect())
+
+    base = " ".join(f"n{i}" for i in range(80))
+    other = " ".join(f"k{i}" for i in range(80))
+    out = near_dedup.stage(spark, frame([(1, base), (None, base), (None, other), (2, "own words of two"), (2, base), (3, "same row twice"), (3, "same row twice")]), SF)
+    assert texts(out) == sorted([base, other, "own words of two", "same row twice"])
+
+    item = next(r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len((r["text"] or "").split()) > 10)
+    out = decontaminate.stage(spark, frame([(None, item), (None, "zzq clean"), (7, item), (7, "zzq seven")]), SF)
+    assert texts(out) == ["zzq clean", "zzq seven"]
+
+    line = "This very line stands here word by word"
+    out = line_dedup.stage(spark, frame([(1, line), (None, f"{line}\nfirst of its own"), (None, "zero line of another one stays\nsecond of its own")]), SF)
+    assert "zero line of another one stays\nsecond of its own" in texts(out) and sum(line in t for t in texts(out)) == 1
+
+    train = docs.select("doc_id", "text", "lang").union(frame([(None, clean[0] + " unique"), (None, "12 34 56")]))
+    left = texts(language_id.stage(spark, train, SF))
+    assert clean[0] + " unique" in left and "12 34 56" not in left

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanspark.functions.session import broadcast_if_small, checkpointed
+from urbanspark.llm import rowkeys
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Windows up to this many are broadcast (about 250 bytes each); more are joined by shuffle.
@@ -94,5 +95,6 @@ def _verified(words: str, candidates: str) -> Column:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with any benchmark window go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]), "left_anti")
+    rows = rowkeys.keyed(docs)
+    found = contamination(rowkeys.named(rows), items).where("contaminated")
+    return rowkeys.without(rows, found).select(*docs.columns)

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from urbanspark.llm import rowkeys
 from urbanspark.llm import textbytes as tb
 
 #: Longer runs are cut into pieces of so many bytes; every byte is read.
@@ -304,6 +305,7 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, min_score: float = 0.3) -> DataFrame:
     """Documents in no learned language go: ``und``, or pooled probability below ``min_score``."""
-    found = identify(docs)
-    rejected = found.where((F.col("lang_pred") == "und") | (F.col("score") < min_score)).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["__id"]), "left_anti")
+    rows = rowkeys.keyed(docs)
+    net = fit(docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
+    rejected = predict(rowkeys.named(rows), net).where((F.col("lang_pred") == "und") | (F.col("score") < min_score))
+    return rowkeys.without(rows, rejected).select(*docs.columns)

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanspark.functions.session import checkpointed
+from urbanspark.llm import rowkeys
 from urbanspark.llm import textbytes as tb
 
 DEPTH, MIN_TOKENS, MIN_DOCS = 3, 5, 3
@@ -161,8 +162,9 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines go; a document whose every word was in them goes too. n_chars is renewed."""
-    named = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    left = drop_lines(docs, recurring_lines(named, alone_whole=False).union(exact_lines(named)))
+    rows = rowkeys.keyed(docs)
+    named = rowkeys.named(rows)
+    left = drop_lines(rows, recurring_lines(named, alone_whole=False).union(exact_lines(named)), id_col=rowkeys.KEY)
     emptied = F.col("__dropped").isNotNull() & (F.regexp_replace("text", r"[\x20\x09-\x0D]+", "") == "")
     left = left.where(~F.coalesce(emptied, F.lit(False)))
     if "n_chars" in docs.columns:

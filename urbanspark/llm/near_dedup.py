@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urbanspark.functions.session import broadcast_if_small, checkpointed
+from urbanspark.llm import rowkeys
 from urbanspark.llm import textbytes as tb
 
 #: A pair of similarity 0.8 has fewer than MATCHES collisions once in 1,200,000 times.
@@ -274,5 +275,12 @@ def _cross_pairs(open_: DataFrame) -> float:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five-word shingles, similarity 0.8."""
-    copies = link(docs, shingle_words=5).where("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(copies, docs["doc_id"].eqNullSafe(copies["__id"]), "left_anti")
+    rows = rowkeys.keyed(docs)
+    copies = link(rowkeys.named(rows), shingle_words=5).where("NOT kept")
+    left = rowkeys.without(rows, copies)
+    # Rows that agree in id and text are kept or dropped together; one of them stays, if it has any word.
+    worded = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    repeated = checkpointed(rows.where(worded).groupBy(rowkeys.KEY).agg(F.count("*").alias("n")).where("n > 1").select(F.col(rowkeys.KEY).alias("__again")))
+    again = left[rowkeys.KEY].eqNullSafe(repeated["__again"])
+    once = left.join(repeated, again, "left_semi").dropDuplicates([rowkeys.KEY])
+    return left.join(repeated, again, "left_anti").union(once).select(*docs.columns)
