@@ -10,7 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEY = "__key"
+from urbanspark.functions.session import broadcast_if_small, checkpointed
+
+#: Names that no column of the documents may have.
+KEY, GONE = "__row_key", "__gone_key"
+#: Keys up to this many are broadcast (about 40 bytes each); more are joined by shuffle.
+BROADCAST_KEYS = 500_000
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -24,6 +29,6 @@ def named(docs: DataFrame) -> DataFrame:
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Keyed ``docs`` without the rows whose keys are in ``dropped`` (doc_id)."""
-    gone = dropped.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[KEY].eqNullSafe(gone["__gone"]), "left_anti")
+    """Keyed ``docs`` without the rows whose keys are the first column of ``dropped``."""
+    gone = checkpointed(dropped.select(F.col(dropped.columns[0]).alias(GONE)).distinct())
+    return docs.join(broadcast_if_small(gone, BROADCAST_KEYS), F.col(KEY).eqNullSafe(F.col(GONE)), "left_anti")
