@@ -7,10 +7,15 @@ more than the ``coordinates - matches + 1`` rarest of its keys: any pair with en
 collisions meets under one of them, and keys that a common passage spreads over many
 texts are skipped. Each pair that meets is confirmed on the full sets.
 
-A posting list is never expanded into all its pairs while it can still shrink. A round
-links every member with one leader of its list (each list has its own), confirmed links contract components,
-and lists that lie in one component are done. What no leader round links any more is
-finished exactly: each pair of a list whose components differ is confirmed.
+A posting list is never expanded into all its pairs. Each round compares a few leaders of
+a list, members of its smallest components first, with the list's other members, and
+then takes them out of the list: their pairs there are done. Confirmed links contract
+components, and a list that lies in one component is done. Where a group is held together
+by its first leaders only its outsiders are ever compared with all of it, and parity bits
+of the sets, which bound how far two sets are apart, refute most of these pairs inside
+the join. Whatever the lists hold, they end when each pair of different components has
+been compared. After the first round a pair is compared under the least key that it
+shares, and so once.
 
 Rows: words are runs outside space and U+0009..U+000D, A-Z lower-cased; a set holds the
 distinct ``shingle_words``-word shingles, a shorter text its whole sequence as one. Null,
@@ -22,13 +27,14 @@ input are neither read nor returned.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from urbanspark.functions.session import broadcast_if_small, checkpointed
 from urbanspark.llm import rowkeys
@@ -36,18 +42,26 @@ from urbanspark.llm import textbytes as tb
 
 #: A pair of similarity 0.8 has fewer than MATCHES collisions once in 1,200,000 times.
 COORDINATES, MATCHES = 48, 24
-#: Leader rounds at most, before the rest is finished pair by pair.
-LEADER_ROUNDS = 4
-#: Leader rounds before the rest may be finished. Every list has a leader of its own, so a round
-#: compares a set with as many members of its group as it has lists, and draws the group together.
-FIRST_ROUNDS = 1
-#: Lists that would compare at most so many pairs for each posting are finished pair by pair.
-PAIRS_PER_POSTING = 20
-#: Two bits of every coordinate are compared first, in the join itself. Pairs of similarity 0.8 differ
-#: in 10 of the 96 bits, and in more than this once in some million times; unrelated ones differ in 43.
-BITS_APART = 28
-#: Ids of candidate texts up to this many are broadcast to the texts (8 bytes each); more are joined by shuffle.
-BROADCAST_IDS = 500_000
+#: Two bits of every coordinate are compared first, in the join itself. A pair of similarity 0.8 differs in
+#: more than this many of the 96 bits once in some hundred million times; unrelated ones differ in 43.
+BITS_APART = 34
+#: Columns of a set's parity bits: sixteen longs, as ``parities`` fills them.
+PARITIES = tuple(f"p{i}" for i in range(16))
+#: Leaders of a list in the first round, and how many times as many in each later round.
+LEADERS, MORE_LEADERS = 1, 32
+#: Rows up to this many of tables with a few longs are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 100_000
+#: Leaders up to this many, with signatures and parity bits (some 400 bytes each), are broadcast.
+BROADCAST_LEADERS = 10_000
+#: Ids of candidate texts up to this many are broadcast to the texts (some 40 bytes each); more are joined by shuffle.
+BROADCAST_IDS = 100_000
+#: Rows of a round's tables in one partition: small rounds leave few files.
+PACKED_ROWS = 50_000
+
+
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in as few partitions as ``rows`` rows need."""
+    return df.coalesce(1 + rows // PACKED_ROWS)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +126,7 @@ def _features(batches: Iterator[pa.RecordBatch], size: int, coordinates: int) ->
             at = np.concatenate([[0], np.cumsum(np.where(full, coordinates, 0))]).astype(np.int32)
             posted = pa.ListArray.from_arrays(pa.array(at), pa.array(minima.ravel().view(np.int32)), mask=pa.array(~full))
             node = pa.array(tb.signed(_set_hash(items, bounds)), mask=~full)
-            yield pa.RecordBatch.from_arrays([ids.slice(first, end - first), pa.array(count.astype(np.int64)), node, posted, pa.array(bits[0]), pa.array(bits[1])], ["doc_id", "n", "node", "minima", "s0", "s1"])
+            yield pa.RecordBatch.from_arrays([ids.slice(first, end - first), pa.array(count.astype(np.int64)), node, posted, pa.array(bits[0]), pa.array(bits[1]), *(pa.array(tb.signed(p)) for p in parities(items, bounds))], ["doc_id", "n", "node", "minima", "s0", "s1", *PARITIES])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -123,49 +137,44 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(tb.signed(items)))], ["node", "items"])
 
 
+def parities(items: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
+    """For each row, whether an odd number of its items falls on each of 64 * len(PARITIES) bits.
+
+    Two rows differ in no more bits than their sets have items apart.
+    """
+    mixed = tb.mix(items ^ np.uint64(0x2545F4914F6CDD1D))
+    word, bit = mixed >> np.uint64(60), np.uint64(1) << ((mixed >> np.uint64(54)) & np.uint64(63))
+    for i in range(len(PARITIES)):
+        odd = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(np.where(word == i, bit, np.uint64(0)))])
+        yield odd[bounds[1:]] ^ odd[bounds[:-1]]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of every node of ``edges`` (a, b): comp is its component's least node.
 
-    Alternates large-star and small-star rounds until the edges stop changing, so chains
+    Alternates large-star and small-star rounds until each node points at a root, so chains
     shrink in a logarithmic number of rounds.
     """
     pairs = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
-    if pairs.isEmpty():
-        return pairs.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-    while True:
+    n = pairs.count()
+    while n and not _is_star_forest(pairs, n):
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        pairs = checkpointed(small.where("a != b").distinct())
-        if _is_star_forest(pairs):
-            return pairs.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+        least = packed(both.groupBy("a").agg(F.min("b").alias("m")), n).select("a", F.least("a", "m").alias("m"))
+        large = packed(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b"), n).distinct()
+        large = checkpointed(packed(large, n))
+        down = packed(large.groupBy("a").agg(F.min("b").alias("m")), n)
+        small = packed(large.join(down, "a"), n).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        pairs = checkpointed(packed(small.where("a != b").distinct(), n))
+    return pairs.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(pairs.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
 
-def _is_star_forest(pairs: DataFrame) -> bool:
+def _is_star_forest(pairs: DataFrame, n: int) -> bool:
     """Whether every a has one b, and no b is an a itself."""
-    ends = pairs.select(F.col("a").alias("node"), F.lit(1).alias("up")).union(pairs.select("b", F.lit(None).cast("int")).distinct())
+    ends = pairs.select(F.col("a").alias("node"), F.lit(1).alias("up")).union(packed(pairs.select("b", F.lit(None).cast("int")).distinct(), n))
     return ends.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
 
-def _colliding(pairs: DataFrame, keys: DataFrame, matches: int) -> DataFrame:
-    """The pairs (a, b) whose signatures collide often enough."""
-    left, right = (keys.select(F.col("node").alias(k), F.col("keys").alias(f"k{k}")) for k in "ab")
-    return pairs.join(left, "a").join(right, "b").where(F.size(F.array_intersect("ka", "kb")) >= matches).select("a", "b")
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, matches: int, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose signatures collide often enough and whose full sets are similar."""
-    left = sets.select(F.col("node").alias("a"), F.col("items").alias("ia"), F.col("keys").alias("ka"))
-    right = sets.select(F.col("node").alias("b"), F.col("items").alias("ib"), F.col("keys").alias("kb"))
-    enough = F.size(F.array_intersect("ka", "kb")) >= matches
-    both = F.size(F.array_intersect("ia", "ib"))
-    linked = both * similarity[1] >= (F.size("ia") + F.size("ib") - both) * similarity[0]
-    return pairs.join(left, "a").join(right, "b").where(F.when(enough, linked).otherwise(False)).select("a", "b")
-
-
-def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 2, similarity: tuple[int, int] = (80, 100), coordinates: int = COORDINATES, matches: int = MATCHES, leader_rounds: int = LEADER_ROUNDS) -> DataFrame:
+def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 2, similarity: tuple[int, int] = (80, 100), coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``.
 
     Two texts are linked when ``similarity[1] * |intersection| >= similarity[0] * |union|``;
@@ -173,16 +182,12 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shi
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    features = checkpointed(rows.mapInArrow(partial(_features, size=shingle_words, coordinates=coordinates), f"doc_id {id_type}, n long, node long, minima array<int>, s0 long, s1 long"))
+    features = checkpointed(rows.mapInArrow(partial(_features, size=shingle_words, coordinates=coordinates), ", ".join([f"doc_id {id_type}, n long, node long, minima array<int>, s0 long, s1 long", *(f"{p} long" for p in PARITIES)])))
     full = features.where("node is not null")
     nodes = checkpointed(full.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.max(c).alias(c) for c in ("n", "s0", "s1"))))
     postings = checkpointed(_prefix_postings(full, nodes, matches))
-    keys = checkpointed(_candidate_keys(features, postings, nodes))
-    # First which sets have any partner by their signatures, then the links of those by their full sets.
-    partnered = _contract(postings, partial(_colliding, keys=keys, matches=matches), similarity, leader_rounds)
-    postings = checkpointed(postings.join(partnered.select("node"), "node", "left_semi"))
-    sets = _candidate_sets(rows, partnered, nodes, keys, shingle_words)
-    comps = _contract(postings, partial(_confirmed, sets=sets, matches=matches, similarity=similarity), similarity, leader_rounds)
+    signed = checkpointed(_signed(full, postings, nodes))
+    comps = components(_links(rows, nodes, postings, signed, shingle_words, similarity, matches))
     least = nodes.join(comps, "node", "left").select(nodes["node"], F.coalesce("comp", "node").alias("comp"), "least")
     least = least.join(least.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("node", "component_id")
     found = features.select("doc_id", "n", "node").join(least, "node", "left")
@@ -207,70 +212,113 @@ def _prefix_postings(full: DataFrame, nodes: DataFrame, matches: int) -> DataFra
     return kept.join(nodes.drop("least"), "node")
 
 
-def _candidate_keys(features: DataFrame, postings: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, keys): all keys of the sets that have a posting."""
-    ids = nodes.join(postings.select("node").distinct(), "node", "left_semi").select(F.col("least").alias("doc_id"), "node")
-    signed = features.join(ids, (features["doc_id"].eqNullSafe(ids["doc_id"])) & (features["node"] == ids["node"]), "left_semi")
-    return signed.dropDuplicates(["doc_id", "node"]).select("node", F.transform("minima", lambda v, i: _key(i, v)).alias("keys"))
-
-
-def _candidate_sets(rows: DataFrame, wanted: DataFrame, nodes: DataFrame, keys: DataFrame, size: int) -> DataFrame:
-    """(node, items, keys) of the wanted sets, read from one text each."""
-    wanted = wanted.select("node")
-    ids = nodes.join(wanted, "node", "left_semi").select(F.col("least").alias("doc_id")).distinct()
-    few = broadcast_if_small(checkpointed(ids), BROADCAST_IDS)
-    texts = rows.join(few, rows["doc_id"].eqNullSafe(few["doc_id"]), "left_semi").select("text")
-    items = texts.mapInArrow(partial(_sets, size=size), "node long, items array<long>").dropDuplicates(["node"])
-    return checkpointed(items.join(keys.join(wanted, "node", "left_semi"), "node"))
-
-
-def _contract(postings: DataFrame, confirm: Callable[[DataFrame], DataFrame], similarity: tuple[int, int], leader_rounds: int) -> DataFrame:
-    """(node, comp) of the nodes that have links; ``confirm`` keeps the true ones of pairs (a, b)."""
-
-    def near(x: Callable, y: Callable) -> Column:
-        apart = F.bit_count(x("s0").bitwiseXOR(y("s0"))) + F.bit_count(x("s1").bitwiseXOR(y("s1")))
-        sizes = F.least(x("n"), y("n")) * similarity[1] >= F.greatest(x("n"), y("n")) * similarity[0]
-        return sizes & (apart <= BITS_APART) & (x("comp") != y("comp"))
-
-    open_ = postings.withColumn("comp", F.col("node"))
-    comps = tried = None
-    turn = 0
-    while not open_.isEmpty():
-        finish = turn >= leader_rounds or (turn >= FIRST_ROUNDS and _cross_pairs(open_) <= PAIRS_PER_POSTING)
-        if finish:
-            other = open_.select("key", *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "s0", "s1", "comp")))
-            met = open_.join(other, "key").where((F.col("node") < F.col("o_node")) & near(F.col, lambda c: F.col(f"o_{c}")))
-            pairs = met.select(F.col("node").alias("a"), F.col("o_node").alias("b"))
+def _signed(full: DataFrame, postings: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, minima, mask, parities) of the sets that have a posting; mask: a bit for each coordinate they are posted under."""
+    masks = postings.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftright(key, 32) as int))")).alias("mask"))
+    ids = nodes.join(masks, "node").select(F.col("least").alias("__id"), F.col("node").alias("__node"), "mask")
+    own = full.join(ids, (full["node"] == ids["__node"]) & full["doc_id"].eqNullSafe(ids["__id"]))
+    return own.select("node", "minima", "mask", *PARITIES).dropDuplicates(["node"])
+
+
+def _sets_of(rows: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(node, items) of the wanted nodes, read from one text each."""
+    ids = checkpointed(nodes.join(wanted, "node", "left_semi").select(F.col("least").alias("__id")).distinct())
+    few = broadcast_if_small(ids, BROADCAST_IDS)
+    texts = rows.join(few, rows["doc_id"].eqNullSafe(few["__id"]), "left_semi").select("text")
+    items = texts.mapInArrow(partial(_sets, size=size), "node long, items array<long>")
+    return checkpointed(items.join(broadcast_if_small(wanted, BROADCAST_IDS), "node", "left_semi").dropDuplicates(["node"]))
+
+
+def _links(rows: DataFrame, nodes: DataFrame, postings: DataFrame, signed: DataFrame, size: int, similarity: tuple[int, int], matches: int) -> DataFrame:
+    """Links (a, b) that hold every component of the sets together; each is confirmed on the full sets."""
+    open_ = postings.withColumns({"comp": F.col("node"), "weight": F.lit(1).cast("long")})
+    left, leaders, turn, sets, links = open_.count(), LEADERS, 0, None, None
+    while left:
+        ranked = open_.withColumn("rank", F.struct("weight", F.xxhash64("node", "key").alias("h"), "node"))
+        lead = _leaders(ranked, leaders, left)
+        met = _met(ranked, lead, similarity)
+        if turn == 0:
+            pairs = _colliding(packed(met.distinct(), left), signed, matches, similarity)
         else:
-            lead = open_.groupBy("key").agg(F.min_by(F.struct("node", "n", "s0", "s1", "comp"), F.xxhash64("node", "key", F.lit(turn))).alias("lead"))
-            met = open_.join(lead, "key").where(near(F.col, lambda c: F.col(f"lead.{c}")))
-            pairs = met.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = checkpointed(pairs)
-        links = checkpointed(confirm(pairs))
-        linked = not links.isEmpty()
-        if linked:
-            comps = components(links if comps is None else links.union(comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
-        if finish:
-            break
-        if linked:
-            open_ = open_.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        spread = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-        open_ = checkpointed(open_.join(spread, "key", "left_semi"))
-        tried = pairs if tried is None else tried.union(pairs)
-        turn = turn + 1 if linked else leader_rounds
-    if comps is None:
-        return postings.select("node", F.col("node").alias("comp")).limit(0)
-    return comps.union(comps.select(F.col("comp").alias("node"), "comp").distinct())
-
-
-def _cross_pairs(open_: DataFrame) -> float:
-    """Pairs of different components that the lists would compare, for each posting; counted, not made."""
-    sizes = open_.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-    pairs, postings = sizes.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s")).first()
-    return pairs / postings if postings else 0.0
+            same = F.transform("minima", lambda x, i: x == F.get("l_minima", i))
+            both = F.col("mask").bitwiseAND(F.col("l_mask"))
+            least = F.array_position(F.transform(same, lambda s, i: s & (F.call_function("getbit", both, i) == 1)), True) - 1
+            pairs = met.where((F.size(F.filter(same, lambda s: s)) >= matches) & (least == F.shiftright("key", 32)))
+        pairs = checkpointed(packed(pairs.select("a", "b", "ca", "cb"), left * leaders))
+        ends = packed(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), left)
+        sets = _with_sets(sets, rows, nodes, ends, size)
+        linked = checkpointed(packed(_confirmed(pairs, sets, similarity), left * leaders))
+        links = linked if links is None else links.union(linked)
+        open_ = _still_open(ranked, lead, linked, left)
+        if turn == 0:
+            open_ = open_.join(signed, "node")
+        open_ = checkpointed(packed(open_, left))
+        left, turn, leaders = open_.count(), turn + 1, leaders * MORE_LEADERS
+    if links is None:
+        return postings.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    return links.select("a", "b")
+
+
+def _with_sets(sets: DataFrame | None, rows: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """``sets`` and those of the wanted nodes that it lacks."""
+    missing = checkpointed(wanted if sets is None else wanted.join(sets.select("node"), "node", "left_anti"))
+    more = _sets_of(rows, nodes, missing, size) if sets is None or not missing.isEmpty() else None
+    return sets if more is None else more if sets is None else sets.union(more)
+
+
+def _apart(one: str, other: str, both: Column, similarity: tuple[int, int]) -> Column:
+    """Whether parity bits leave sets of ``both`` shingles together as near as a link needs."""
+    odd = sum((F.bit_count(F.col(f"{one}{p}").bitwiseXOR(F.col(f"{other}{p}"))) for p in PARITIES), F.lit(0))
+    return odd * (similarity[0] + similarity[1]) <= both * (similarity[1] - similarity[0])
+
+
+def _leaders(ranked: DataFrame, leaders: int, n: int) -> DataFrame:
+    """The first members of each list, their columns as l_*."""
+    first = ranked.withColumn("place", F.row_number().over(W.partitionBy("key").orderBy("rank"))).where(F.col("place") <= leaders)
+    return checkpointed(packed(first.select("key", *(F.col(c).alias(f"l_{c}") for c in ranked.columns if c not in ("key", "weight"))), n))
+
+
+def _met(ranked: DataFrame, lead: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Members beside the leaders before them in rank, of other components, if sizes and bits allow a link."""
+    apart = F.bit_count(F.col("s0").bitwiseXOR(F.col("l_s0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("l_s1")))
+    sizes = F.least("n", "l_n") * similarity[1] >= F.greatest("n", "l_n") * similarity[0]
+    if PARITIES[0] in ranked.columns:
+        sizes &= _apart("", "l_", F.col("n") + F.col("l_n"), similarity)
+    met = ranked.join(broadcast_if_small(lead, BROADCAST_LEADERS), "key").where((F.col("rank") > F.col("l_rank")) & (F.col("comp") != F.col("l_comp")) & sizes & (apart <= BITS_APART))
+    ends = {"a": F.least("node", "l_node"), "b": F.greatest("node", "l_node"), "both": F.col("n") + F.col("l_n")}
+    swapped = F.col("node") > F.col("l_node")
+    ends |= {"ca": F.when(swapped, F.col("l_comp")).otherwise(F.col("comp")), "cb": F.when(swapped, F.col("comp")).otherwise(F.col("l_comp"))}
+    more = [c for c in ("key", "minima", "mask", "l_minima", "l_mask") if "minima" in ranked.columns]
+    return met.select(*(v.alias(k) for k, v in ends.items()), *more)
+
+
+def _colliding(pairs: DataFrame, signed: DataFrame, matches: int, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs whose signatures collide often enough and whose parity bits allow a link."""
+    left, right = (signed.select(F.col("node").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("minima", *PARITIES))) for k in "ab")
+    same = F.filter(F.zip_with("a_minima", "b_minima", lambda x, y: x == y), lambda s: s)
+    return pairs.join(left, "a").join(right, "b").where(_apart("a_", "b_", F.col("both"), similarity)).where(F.size(same) >= matches)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs whose full sets are similar."""
+    left, right = (sets.join(broadcast_if_small(pairs.select(F.col(k).alias("node")).distinct(), BROADCAST_ROWS), "node", "left_semi").select(F.col("node").alias(k), F.col("items").alias(f"i{k}")) for k in "ab")
+    both = F.size(F.array_intersect("ia", "ib"))
+    linked = both * similarity[1] >= (F.size("ia") + F.size("ib") - both) * similarity[0]
+    return pairs.join(left, "a").join(right, "b").where(linked).select("a", "b", "ca", "cb")
+
+
+def _still_open(ranked: DataFrame, lead: DataFrame, linked: DataFrame | None, n: int) -> DataFrame:
+    """The postings without the leaders, their components contracted, of the lists that still hold several."""
+    last = packed(lead.groupBy("key").agg(F.max("l_rank").alias("last")), n)
+    open_ = ranked.join(broadcast_if_small(last, BROADCAST_ROWS), "key").where("rank > last").drop("rank", "last", "weight")
+    if linked is not None:
+        merged = checkpointed(components(linked.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("into")))
+        open_ = open_.join(broadcast_if_small(merged, BROADCAST_ROWS), "comp", "left").withColumn("comp", F.coalesce("into", "comp")).drop("into")
+    open_ = checkpointed(packed(open_, n))
+    spread = checkpointed(packed(open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key"), n))
+    open_ = checkpointed(packed(open_.join(broadcast_if_small(spread, BROADCAST_ROWS), "key", "left_semi"), n))
+    weights = checkpointed(packed(open_.groupBy("comp").agg(F.count("*").alias("weight")), n))
+    return open_.join(broadcast_if_small(weights, BROADCAST_ROWS), "comp")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
