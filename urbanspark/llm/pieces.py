@@ -126,8 +126,8 @@ class Vocabulary:
             plain.sort(key=lambda i: (len(pieces[i]) > 1, -model.get_score(i), i))
         self.ids = np.array(plain, np.int64)
         own = [pieces[i] for i in plain]
-        self.gain = np.array([model.get_score(i) if self.kind == UNIGRAM else 0.0 for i in plain])
-        self.unknown_gain = float(self.gain.min()) - 10.0 if self.kind == UNIGRAM else 0.0
+        self.gain = np.array([model.get_score(i) if self.kind == UNIGRAM else 0.0 for i in plain], np.float32)
+        self.unknown_gain = np.float32(self.gain.min() - np.float32(10)) if self.kind == UNIGRAM else np.float32(0)
         reachable = self._merges(own) if self.kind == MERGES else list(range(len(own)))
         self.longest = max(len(own[r]) for r in reachable)
         self._index([(key_of(own[r]), r) for r in reachable])
@@ -250,7 +250,7 @@ def lattice(vocabulary: Vocabulary, points: np.ndarray) -> tuple[np.ndarray, np.
     # found[k - 1][:, e - k]: the piece of length k that ends at place e.
     found = [vocabulary.probe(key) for key in substring_keys(points, vocabulary.longest)]
     length, piece = np.zeros((n, size + 1), np.int32), np.full((n, size + 1), START, np.int64)
-    best = np.full((n, size + 1), -np.inf)
+    best = np.full((n, size + 1), -np.inf, np.float32)  # as the library adds them up, so that ties end alike
     best[:, 0] = 0
     (_advance_each if n <= FEW else _advance)(vocabulary, found, length, piece, best)
     return length, piece
@@ -281,7 +281,9 @@ def _advance(vocabulary: Vocabulary, found: list[np.ndarray], length: np.ndarray
 
 def _advance_each(vocabulary: Vocabulary, found: list[np.ndarray], length: np.ndarray, piece: np.ndarray, best: np.ndarray) -> None:
     """The same maximum for few, perhaps very long words, one after the other."""
-    merges, gain = vocabulary.kind == MERGES, vocabulary.gain
+    merges = vocabulary.kind == MERGES
+    gain = [0] * len(vocabulary.gain) if merges else list(vocabulary.gain)
+    zero, unknown = (0, 0) if merges else (np.float32(0), vocabulary.unknown_gain)
     known: dict[tuple[int, int], bool] = {}
 
     def may(left: int, right: int) -> bool:
@@ -297,7 +299,7 @@ def _advance_each(vocabulary: Vocabulary, found: list[np.ndarray], length: np.nd
         for k, f in enumerate(found, 1):
             for e in np.flatnonzero(f[w] >= 0).tolist():
                 at[e + k].append((k, int(f[w, e])))
-        value, back, last = [0.0] + [-np.inf] * (len(at) - 1), [0] * len(at), [START] * len(at)
+        value, back, last = [zero] + [-np.inf] * (len(at) - 1), [0] * len(at), [START] * len(at)
         for end in range(1, len(at)):
             top, by, of = -np.inf, 0, START
             for k, r in at[end]:
@@ -305,7 +307,7 @@ def _advance_each(vocabulary: Vocabulary, found: list[np.ndarray], length: np.nd
                 if score > top and (not merges or last[end - k] < 0 or may(last[end - k], r)):
                     top, by, of = score, k, r
             if not (at[end] and at[end][0][0] == 1):
-                score = value[end - 1] + vocabulary.unknown_gain
+                score = value[end - 1] + unknown
                 if score > top:
                     top, by, of = score, 1, UNKNOWN
             value[end], back[end], last[end] = top, by, of
