@@ -300,7 +300,7 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, held_out, lang_pred, score), one row for each row of ``docs``."""
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     found = predict(named, fit(named, **options))
-    return found.select("doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(~learnable(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, min_score: float = 0.3) -> DataFrame:

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -37,6 +38,9 @@ from pyspark.sql import functions as F
 from urbanspark.functions.session import broadcast_if_small
 from urbanspark.llm import textbytes as tb
 
+#: Words as the scoring finds them.
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
 # Function words of the grammar in English, German, French and Spanish.
 NEGATIONS = frozenset("not no never don't isn't wasn't aren't cannot nicht kein keine nie niemals pas jamais nunca".split())
 REPORTS = frozenset("said says say called calls wrote quoted claimed reported sagte sagt schrieb dit disait dijo dice".split())
@@ -158,7 +162,7 @@ def _count_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
     for batch in batches:
         for text, y in zip(batch["text"], batch["toxic"], strict=True):
-            words = {normal(w) for w in set((text or "").split())}
+            words = {normal(w) for w in set(_WORD.findall(text or ""))}
             counts[int(y)].update({f for w in words if w for f in features(w)})
     rows = [(f, n, counts[0][f]) for f, n in counts[1].items()]
     yield pd.DataFrame(rows, columns=["f", "n1", "n0"])
@@ -236,15 +240,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 3000, max_clean:
 
     def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            words = [{normal(w) for w in set((text or "").split())} for text in batch["text"]]
+            words = [{normal(w) for w in set(_WORD.findall(text or ""))} for text in batch["text"]]
             marked = [[[f for f in features(w) if f in candidates] for w in sorted(ws) if w] for ws in words]
             yield pd.DataFrame({"ws": [[fs for fs in ws if fs] for ws in marked]})
 
     found = [r["ws"] for r in sample.where("toxic = 1").mapInPandas(marks, "ws array<array<string>>").collect()]
     grammar = Grammar({f: weight[f] for f in _cover(found, candidates)})
     fitted = sample.mapInArrow(_summaries(grammar), "a double, b double, c double, d double, toxic int").collect()
-    x = np.array([[r["a"], r["b"], r["c"], r["d"]] for r in fitted])
-    grammar.weights = _logistic(x, np.array([r["toxic"] for r in fitted], float))
+    y = np.array([r["toxic"] for r in fitted], float)
+    if len(set(y.tolist())) < 2:  # labels of documents that aren't there
+        return Grammar()
+    grammar.weights = _logistic(np.array([[r["a"], r["b"], r["c"], r["d"]] for r in fitted]), y)
     return grammar
 
 
@@ -285,4 +291,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     labels = labels.select(F.col(label_id_col).alias("doc_id"), F.col(label_col).alias("toxic"))
     found = score(docs, fit(docs, labels, **options))
-    return found.select("doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "n_clauses")
+    return found.select("doc_id", F.coalesce(~learnable(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "n_clauses")
