@@ -15,7 +15,7 @@ first turn, and a long conversation costs no more jobs than a short one.
 
 Template: ``<|im_start|>role\ntext<|im_end|>\n``. A control string inside a role or a text
 gets a backslash after its first character, one more if it has some already, so each is
-read back exactly. Line ends inside a role are written ``\n`` with its backslash doubled.
+read back exactly. Inside a role a line end is written ``\n`` and a backslash ``\s``.
 
 Rows: turns are ordered by (turn, role, text), nulls first; a null role or text is empty;
 rows with a null conv_id form one conversation. Repeated rows are turns of their own. An
@@ -46,12 +46,12 @@ def unescape(text: Column) -> Column:
 
 
 def escape_role(role: Column) -> Column:
-    return F.replace(F.replace(escape(role), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    return F.replace(F.replace(escape(role), F.lit("\\"), F.lit("\\s")), F.lit("\n"), F.lit("\\n"))
 
 
 def unescape_role(role: Column) -> Column:
-    plain = F.replace(F.replace(F.replace(role, F.lit("\\\\"), F.lit("\x00\x01")), F.lit("\\n"), F.lit("\n")), F.lit("\x00\x01"), F.lit("\\"))
-    return unescape(plain)
+    # Each backslash is followed by s or n here, so neither replacement makes what the other looks for.
+    return unescape(F.replace(F.replace(role, F.lit("\\n"), F.lit("\n")), F.lit("\\s"), F.lit("\\")))
 
 
 def segment(role: Column, text: Column) -> Column:
@@ -62,7 +62,7 @@ def turns(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "
     """(conv_id, k, role, text, node, parent): each turn and the tree node it is, k from 1."""
     rows = conversations.select(F.col(conv_col).alias("conv_id"), F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).alias("t"))
     gathered = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    digest = lambda above, t: F.sha2(F.concat(above, t["role"], F.lit("\x00"), F.length(t["text"]).cast("string"), F.lit("\x00"), t["text"]), 256)
+    digest = lambda above, t: F.sha2(F.concat(above, F.length(t["role"]).cast("string"), F.lit("\x00"), t["role"], t["text"]), 256)
     chain = F.aggregate("ts", F.array(F.lit("")), lambda acc, t: F.concat(acc, F.array(digest(F.element_at(acc, -1), t))))
     chained = gathered.select("conv_id", "ts", chain.alias("chain"))
     each = chained.select("conv_id", "chain", F.posexplode("ts").alias("i", "t"))
