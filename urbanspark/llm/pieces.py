@@ -48,7 +48,7 @@ from urbanspark.llm import textbytes as tb
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, SPACE, NO_MARK = 0x2581, 32, 0x110000
 #: Distinct words whose ids a worker keeps (some 60 bytes each); then it starts anew.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 UNIGRAM, MERGES = 1, 2
 START, UNKNOWN = -1, -2
 #: Code points of one lattice block; words of a length are advanced one by one if they are at most so many.
