@@ -163,8 +163,9 @@ def merge_evidence(current: DataFrame, matches: DataFrame, run: int, scope: Data
     return joined.select(*keys, status.alias("status"), F.coalesce("first_run", F.lit(run)).cast("int").alias("first_run"))
 
 
-def object_categories(evidence: DataFrame) -> DataFrame:
-    return evidence.groupBy("binding_id", "category").agg(F.when(F.bool_or(F.col("status") == "active"), "active").otherwise("inactive").alias("status"))
+def object_categories(evidence: DataFrame, bindings: DataFrame) -> DataFrame:
+    """(object_id, category, status): active while any binding of the object has active evidence. bindings: (binding_id, object_id)."""
+    return evidence.join(bindings.select("binding_id", "object_id"), "binding_id").groupBy("object_id", "category").agg(F.when(F.bool_or(F.col("status") == "active"), "active").otherwise("inactive").alias("status"))
 
 
 def category_report(evidence: DataFrame) -> DataFrame:

@@ -278,9 +278,10 @@ def category_evidence(spark, sf):
     return evidence(spark, sf)
 
 
-@query(_EVIDENCE + "SELECT binding_id, category, CASE WHEN bool_or(status = 'active') THEN 'active' ELSE 'inactive' END AS status FROM e GROUP BY 1, 2", "obs")
+@query(_EVIDENCE + "SELECT binding_id // 100 AS object_id, category, CASE WHEN bool_or(status = 'active') THEN 'active' ELSE 'inactive' END AS status FROM e GROUP BY 1, 2", "obs")
 def category_rollup(spark, sf):
-    return catalog.object_categories(evidence(spark, sf))
+    found = evidence(spark, sf)
+    return catalog.object_categories(found, found.select("binding_id", F.expr("binding_id div 100").alias("object_id")).distinct())
 
 
 @query(_EVIDENCE + "SELECT category, count(*) AS matches, count(DISTINCT binding_id) AS objects, count(*) FILTER (status = 'active') AS active FROM e GROUP BY 1", "obs")
@@ -512,14 +513,15 @@ def part_objects(spark, sf) -> DataFrame:
     return synth.table(spark, sf, "part").where(k % 4 != 0).select(kind.alias("member_type"), k.alias("member_id"), F.col("p_name").alias("name"))
 
 
-@query(_TRANSIT + """, s AS (SELECT relation_id, count(*) AS members, count(*) FILTER (kind = 'path') AS paths, count(*) FILTER (kind = 'path' AND NOT resolved) AS missing_paths, count(*) FILTER (kind = 'stop_position') AS stops, count(*) FILTER (kind = 'platform') AS platforms, count(*) FILTER (kind = 'platform' AND resolved) AS resolved_platforms FROM k GROUP BY 1)
+@query(_TRANSIT + """, s AS (SELECT relation_id, count(*) AS members, count(*) FILTER (member_type = 'way' AND role NOT LIKE 'platform%') AS paths, count(*) FILTER (member_type = 'way' AND role NOT LIKE 'platform%' AND NOT resolved) AS missing_paths, CAST(0 AS BIGINT) AS null_paths, count(*) FILTER (role LIKE 'stop%') AS stops, count(*) FILTER (role LIKE 'platform%') AS platforms,
+      count(*) FILTER (role LIKE 'stop%' AND NOT (member_type = 'node' AND resolved)) AS unresolved_stops, count(*) FILTER (role LIKE 'platform%' AND NOT resolved) AS unresolved_platforms, count(*) FILTER (member_type = 'relation') AS nested FROM k GROUP BY 1)
     SELECT *, CASE WHEN paths = 0 THEN 'incomplete' WHEN missing_paths > 0 AND relation_id % 2 = 0 THEN 'incomplete' WHEN missing_paths > 0 THEN 'partial' WHEN relation_id % 2 = 0 THEN 'invalid' ELSE 'assembled' END AS status FROM s""")
 def route_status(spark, sf):
     m = osm.route_members(transit_members(spark, sf), part_objects(spark, sf))
     return osm.route_status(m.withColumn("has_geom", F.lit(True)).withColumn("geom_ok", F.when(F.col("relation_id") % 2 != 0, True)))
 
 
-@query(_TRANSIT + "SELECT status, count(*) AS n FROM (SELECT relation_id, CASE WHEN count(*) FILTER (kind = 'path') = 0 THEN 'incomplete' WHEN count(*) FILTER (kind = 'path' AND NOT resolved) > 0 AND relation_id % 2 = 0 THEN 'incomplete' WHEN count(*) FILTER (kind = 'path' AND NOT resolved) > 0 THEN 'partial' WHEN relation_id % 2 = 0 THEN 'invalid' ELSE 'assembled' END AS status FROM k GROUP BY relation_id) GROUP BY 1")
+@query(_TRANSIT + "SELECT status, count(*) AS n FROM (SELECT relation_id, CASE WHEN count(*) FILTER (member_type = 'way' AND role NOT LIKE 'platform%') = 0 THEN 'incomplete' WHEN count(*) FILTER (member_type = 'way' AND role NOT LIKE 'platform%' AND NOT resolved) > 0 AND relation_id % 2 = 0 THEN 'incomplete' WHEN count(*) FILTER (member_type = 'way' AND role NOT LIKE 'platform%' AND NOT resolved) > 0 THEN 'partial' WHEN relation_id % 2 = 0 THEN 'invalid' ELSE 'assembled' END AS status FROM k GROUP BY relation_id) GROUP BY 1")
 def assembly_summary(spark, sf):
     return osm.assembly_summary(route_status(spark, sf))
 

@@ -239,19 +239,28 @@ def route_members(members: DataFrame, objects: DataFrame) -> DataFrame:
 
 
 def route_status(members: DataFrame) -> DataFrame:
-    """Status and counters of routes. members: route_members' columns with has_geom, geom_ok (null: no geometry)."""
-    path = F.col("kind") == "path"
+    """Status and counters of routes. members: route_members' columns with has_geom, geom_ok (null: no geometry).
+
+    Every way whose role isn't a platform's is a path, those with a stop's role too; a stop
+    is there only as a node.
+    """
+    way, role = F.col("member_type") == "way", F.coalesce("role", F.lit(""))
+    stop, platform = role.startswith("stop"), role.startswith("platform")
+    path = way & ~platform
     n = members.groupBy("relation_id").agg(
         F.count("*").alias("members"),
         F.count_if(path).alias("paths"),
-        F.count_if(path & ~(F.col("resolved") & F.col("has_geom"))).alias("missing_paths"),
-        F.count_if(F.col("kind") == "stop_position").alias("stops"),
-        F.count_if(F.col("kind") == "platform").alias("platforms"),
-        F.count_if((F.col("kind") == "platform") & F.col("resolved")).alias("resolved_platforms"),
+        F.count_if(path & ~F.col("resolved")).alias("missing_paths"),
+        F.count_if(path & F.col("resolved") & ~F.col("has_geom")).alias("null_paths"),
+        F.count_if(stop).alias("stops"),
+        F.count_if(platform).alias("platforms"),
+        F.count_if(stop & ~((F.col("member_type") == "node") & F.col("resolved"))).alias("unresolved_stops"),
+        F.count_if(platform & ~F.col("resolved")).alias("unresolved_platforms"),
+        F.count_if(F.col("member_type") == "relation").alias("nested"),
         F.max("geom_ok").alias("geom_ok"),
     )
     none = F.col("geom_ok").isNull()
-    lacking = F.col("missing_paths") > 0
+    lacking = F.col("missing_paths") + F.col("null_paths") > 0
     status = F.when(F.col("paths") == 0, "incomplete").when(lacking & none, "incomplete").when(lacking, "partial").when(none | ~F.col("geom_ok"), "invalid").otherwise("assembled")
     return n.withColumn("status", status).drop("geom_ok")
 
