@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from urbanspark.functions import geometry as G
-from urbanspark.operators import catalog, entities, merge, metrics, scoring, search, spatial
+from urbanspark.operators import audits, catalog, entities, merge, metrics, scoring, search, spatial
 from urbanspark.plans import synth
 from urbanspark.sources import features, osm
 
@@ -156,3 +156,36 @@ def test_write_version(spark, tmp_path):
     assert spark.read.parquet(path).count() == 3
     with pytest.raises(Exception):
         merge.write_version(spark.range(3), str(tmp_path), "v1")
+
+
+def test_districts_are_polygons_not_boxes(spark):
+    ring = F.array(*(G.xy(F.lit(float(x)), F.lit(float(y))) for x, y in [(0, 0), (100, 0), (0, 100), (0, 0)]))
+    district = spark.range(1).select(F.lit("d").alias("district_id"), G.polygon(F.array(ring)).alias("geom"))
+    inside, outside = (G.point(F.lit(v), F.lit(v)) for v in (20.0, 90.0))
+    objects = spark.range(2).select("id", F.lit("k").alias("category"), F.when(F.col("id") == 0, inside).otherwise(outside).alias("geom"))
+    assert [(r["district_id"], r["n"]) for r in spatial.district_counts(objects, district, []).collect()] == [("d", 1)]
+    assert [r["n"] for r in audits.category_totals(objects, district).collect()] == [1]
+    members = objects.select(F.col("id").alias("object_id"), "category", "geom", F.lit(None).cast("string").alias("facility_id"), F.lit(None).cast(objects.schema["geom"].dataType).alias("display_geom"))
+    assert [r[0] for r in search.features(members, (0, 0, 200, 200), ["k"], districts=district).collect()] == ["o:0"]
+
+
+def test_nearest_reaches_any_distance(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 0.0), (3, 5e6, 0.0)], "cell_id long, x double, y double")
+    target = spark.range(1).select(F.lit("t").alias("target_id"), G.point(F.lit(4e6), F.lit(0.0)).alias("geom"))
+    got = {r["cell_id"]: r["distance"] for r in spatial.nearest(points, target, "cell_id").collect()}
+    assert got == {1: 4e6, 3: 1e6}
+    assert spatial.nearest(points, target.where("false"), "cell_id").count() == 0
+
+
+def test_paths_are_ways_that_are_no_platform(spark):
+    rows = [(1, 0, "way", 5, "stop_entry", "path", None, True), (1, 1, "way", 6, "platform", "platform", None, False), (1, 2, "node", 7, "stop", "stop_position", None, True), (2, 0, "way", 8, "", "path", None, False), (2, 1, "relation", 9, "", "relation", None, True)]
+    members = spark.createDataFrame(rows, "relation_id long, sequence int, member_type string, member_id long, role string, kind string, name string, resolved boolean")
+    got = {r["relation_id"]: r.asDict() for r in osm.route_status(members.withColumns({"has_geom": F.lit(True), "geom_ok": F.lit(True)})).collect()}
+    assert [got[1][k] for k in ("paths", "stops", "unresolved_stops", "platforms", "unresolved_platforms", "status")] == [1, 2, 1, 1, 1, "assembled"]
+    assert [got[2][k] for k in ("paths", "missing_paths", "nested", "status")] == [1, 1, 1, "partial"]
+
+
+def test_categories_roll_up_by_object(spark):
+    evidence = spark.createDataFrame([(1, "park", "r", "inactive", 1), (2, "park", "r", "active", 1), (3, "park", "r", "inactive", 1)], "binding_id long, category string, rule_id string, status string, first_run int")
+    bindings = spark.createDataFrame([(1, 10), (2, 10), (3, 11)], "binding_id long, object_id long")
+    assert {(r["object_id"], r["status"]) for r in catalog.object_categories(evidence, bindings).collect()} == {(10, "active"), (11, "inactive")}

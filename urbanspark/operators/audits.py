@@ -21,7 +21,7 @@ def coverage_ratio(current: DataFrame, full: DataFrame, districts: DataFrame) ->
 
 def category_totals(df: DataFrame, districts: DataFrame, category: str = "category") -> DataFrame:
     """City-wide totals; an object across districts counts once."""
-    inside = spatial.within_districts(df, districts.select(F.col("geom").alias("district_geom")), boxes=True)
+    inside = spatial.within_districts(df, districts.select(F.col("geom").alias("district_geom")))
     return inside.groupBy(category).agg(F.count("*").alias("n"))
 
 

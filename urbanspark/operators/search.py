@@ -25,7 +25,7 @@ def features(members: DataFrame, box: tuple[float, float, float, float], categor
     shown = shown.select(F.coalesce(F.concat(F.lit("f:"), F.col("facility_id").cast("string")), F.concat(F.lit("o:"), F.col("object_id").cast("string"))).alias("representation_id"), F.coalesce("display_geom", "geom").alias("geom"))
     shown = spatial.in_viewport(shown, box)
     if districts is not None:
-        shown = spatial.within_districts(shown, districts.select(F.col("geom").alias("district_geom")), boxes=True)
+        shown = spatial.within_districts(shown, districts.select(F.col("geom").alias("district_geom")))
     return shown.select("representation_id").distinct()
 
 

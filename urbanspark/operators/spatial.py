@@ -52,20 +52,22 @@ def distance_join(points: DataFrame, targets: DataFrame, radius: float, *, x: st
     return near.where(F.col("distance") <= radius).drop("__bx", "__by")
 
 
-def nearest(points: DataFrame, targets: DataFrame, point_id: str, *, x: str = "x", y: str = "y", geom: str = "geom", first_radius: float = 250.0, extent: float = 200_000.0, boxes: bool = False) -> DataFrame:
-    """(point_id, distance) to the nearest target of every point; no row without targets.
+def nearest(points: DataFrame, targets: DataFrame, point_id: str, *, x: str = "x", y: str = "y", geom: str = "geom", first_radius: float = 250.0, boxes: bool = False) -> DataFrame:
+    """(point_id, distance) to the nearest target of every point.
 
-    A hit within the radius is proof; points without one go on with twice the radius, up
-    to the ``extent`` of the plane, after which nothing can be farther.
+    A hit within the radius is proof; points without one go on with a larger radius, however
+    far the targets are. Without targets, and for points without coordinates, there is no row.
     """
+    points = points.where(F.col(x).isNotNull() & F.col(y).isNotNull() & (F.abs(x) < 1e12) & (F.abs(y) < 1e12))
+    targets = targets.where(F.abs(F.col(geom)["xmin"]) < 1e12)
     left, radius, found = points, first_radius, None
+    there = not targets.isEmpty()
     while True:
-        last = radius >= extent
         hits = distance_join(left.select(point_id, x, y), targets, radius, x=x, y=y, geom=geom, boxes=boxes).groupBy(point_id).agg(F.min("distance").alias("distance"))
         hits = checkpointed(hits)
         found = hits if found is None else found.unionByName(hits)
         left = checkpointed(left.join(hits, point_id, "left_anti"))
-        if last or left.isEmpty():
+        if not there or left.isEmpty():
             return found
         radius *= 4 if radius > 2000 else 2
 
@@ -102,7 +104,7 @@ def district_counts(df: DataFrame, districts: DataFrame, by: list[str], *, geom:
     """Objects per district and ``by``; an object counts in every district that it touches."""
     right = broadcast_if_small(districts.select(district_id, F.col("geom").alias("__d")), BROADCAST_POLYGONS)
     d = F.col("__d")
-    met = df.join(right, G.bbox_overlaps(F.col(geom), d)).where(G.intersects_box(F.col(geom), d["xmin"], d["ymin"], d["xmax"], d["ymax"]))
+    met = df.join(right, G.bbox_overlaps(F.col(geom), d)).where(G.st_intersects(F.col(geom), d))
     return met.groupBy(district_id, *by).agg(F.count("*").alias("n"))
 
 
