@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from urbanspark.functions import geometry as G
+from urbanspark.functions.session import checkpointed
 from urbanspark.functions.text import uuid5
 from urbanspark.operators import merge, spatial
 
@@ -144,9 +145,14 @@ def facility_report(pairs: DataFrame) -> DataFrame:
 
 def cluster_lines(lines: DataFrame, line_id: str, key: str, gap: float) -> DataFrame:
     """(line_id, key, component) of the graph of lines at most ``gap`` apart; a lone line is its own."""
-    edges = spatial.proximity_edges(lines, line_id, key, gap)
-    comps = spatial.components(edges.select("a", "b")).withColumnRenamed("node", line_id)
-    return lines.select(line_id, key).join(comps, line_id, "left").select(line_id, key, F.coalesce("component", line_id).alias("component"))
+    # Equal lines are linked through the one of least id, so that only distinct ones are compared.
+    held = lines.select(line_id, key, "geom").where(F.col(key).isNotNull() & F.col("geom").isNotNull())
+    lead = checkpointed(held.groupBy(key, "geom").agg(F.min(line_id).alias("__lead")))
+    of = held.join(lead, [key, "geom"]).select(line_id, "__lead")
+    edges = spatial.proximity_edges(lead.select(F.col("__lead").alias(line_id), key, "geom"), line_id, key, gap)
+    comps = spatial.components(edges.select("a", "b")).withColumnRenamed("node", "__lead")
+    found = lines.select(line_id, key).join(of, line_id, "left").join(comps, "__lead", "left")
+    return found.select(line_id, key, F.coalesce("component", "__lead", line_id).alias("component"))
 
 
 def merge_by_relation(clusters: DataFrame, relation: DataFrame, line_id: str, key: str) -> DataFrame:
