@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests, a laptop) gets a temporary folder.
+    Only a local session without that setting (tests, a laptop) gets a temporary folder; on
+    a cluster a folder of one machine would lose what other machines write.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
