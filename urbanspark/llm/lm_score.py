@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -66,13 +67,28 @@ class Lookup:
         return values if np.ndim(word) else values[0]
 
 
+@dataclass
+class Shares:
+    """Log shares of words from their units and counts; a count of 0 is a word that the corpus lacks."""
+
+    unseen: float
+    log_mass: np.ndarray
+
+    def __call__(self, unit: np.ndarray, n: np.ndarray) -> np.ndarray:
+        share = np.log(np.maximum(n, 0.5)) - self.log_mass[unit]
+        share[unit < FREQUENT] = 0
+        share[n == 0] = self.unseen
+        return share
+
+
 @dataclass
 class Units:
-    """(word, unit, share) of each word of the corpus, share in logs; those of any other word; log P(unit)."""
+    """(word, unit, share, n) of each word of the corpus, share in logs; unit and share of any other word; log P(unit); log masses of the units."""
 
     table: DataFrame
     unseen: tuple[int, float]
     log_p: np.ndarray
+    log_mass: np.ndarray
 
     def __post_init__(self):
         self.unit, self.share = (Lookup(self.table, c, u) for c, u in zip(("unit", "share"), self.unseen, strict=True))
@@ -123,7 +139,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, at, often = np.unique(word, return_inverse=True, return_counts=True)
             packed = pa.compress(at.astype(np.int32).tobytes(), _CODEC, asbytes=True)
             ids = batch.column(0).slice(first, end - first)
-            columns = [pa.array([number]), _list(ids), _list(pa.array(n)), _list(pa.array(words)), _list(pa.array(often)), pa.array([packed])]
+            columns = [pa.array([number]), _list(ids), _list(pa.array(n)), _list(pa.array(words)), _list(pa.array(often.astype(np.int32))), pa.array([packed])]
             yield pa.RecordBatch.from_arrays(columns, ["slice", "ids", "n", "words", "often", "at"])
             number += 1
 
@@ -131,7 +147,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sliced(docs: DataFrame) -> DataFrame:
     """The slices of ``docs`` (doc_id, text)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return checkpointed(docs.select("doc_id", "text").mapInArrow(_slices, f"slice long, ids array<{id_type}>, n array<long>, words array<long>, often array<long>, at binary"))
+    return checkpointed(docs.select("doc_id", "text").mapInArrow(_slices, f"slice long, ids array<{id_type}>, n array<long>, words array<long>, often array<int>, at binary"))
 
 
 def bands(mass: dict[int, int]) -> dict[int, int]:
@@ -167,18 +183,20 @@ def units_of(slices: DataFrame) -> Units:
     share = F.when(F.col("own").isNotNull(), 0.0).otherwise(F.log("n") - F.col("log_mass"))
     rarest = FREQUENT + max(band.values(), default=0)
     unseen = rarest, float(np.log(0.5) - np.log(max(mass[rarest], 1)))
-    return Units(table.select("word", F.coalesce("own", "class").alias("unit"), share.alias("share")), unseen, np.log((mass + 1) / (mass.sum() + UNITS)))
+    table = table.select("word", F.coalesce("own", "class").alias("unit"), share.alias("share"), "n")
+    return Units(table, unseen, np.log((mass + 1) / (mass.sum() + UNITS)), np.log(np.maximum(mass, 1)))
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _units(batches: Iterator[pa.RecordBatch], shares) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             ids, n, at, found = (batch.column(k).slice(i, 1) for k in range(4))
             n = n.flatten().to_numpy(zero_copy_only=False)
             place = np.frombuffer(pa.decompress(at[0].as_py(), int(n.sum()) * 4, _CODEC), np.int32) if n.sum() else np.zeros(0, np.int32)
             found = found.flatten()
-            unit = found.field("unit").to_numpy(zero_copy_only=False).astype(np.uint8)[place]
-            share = found.field("share").to_numpy(zero_copy_only=False).astype(float)[place]
+            unit = found.field("unit").to_numpy(zero_copy_only=False).astype(np.uint8)
+            share = shares(unit, found.field("n").to_numpy(zero_copy_only=False))[place]
+            unit = unit[place]
             total = np.bincount(np.repeat(np.arange(len(n)), n), weights=share, minlength=len(n)).astype(float)
             packed = pa.compress(unit.tobytes(), _CODEC, asbytes=True)
             yield pa.RecordBatch.from_arrays([_list(ids.flatten()), _list(pa.array(n)), _list(pa.array(total)), pa.array([packed])], ["ids", "n", "share", "unit"])
@@ -187,11 +205,13 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def encoded(slices: DataFrame, units: Units) -> DataFrame:
     """(ids, n, share, unit) of each slice: log shares summed for each document, and the packed units of all its words."""
     asked = slices.select("slice", F.posexplode("words").alias("i", "word"))
-    unit, share = F.coalesce("unit", F.lit(units.unseen[0])), F.coalesce("share", F.lit(units.unseen[1]))
-    found = asked.join(units.table, "word", "left").groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("i", unit.alias("unit"), share.alias("share")))).alias("found"))
+    # Counts, small numbers for most words, take less room in the shuffle than the shares that follow from them.
+    unit, n = F.coalesce("unit", F.lit(units.unseen[0])), F.coalesce("n", F.lit(0))
+    found = asked.join(units.table, "word", "left").groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("i", unit.alias("unit"), n.alias("n")))).alias("found"))
     joined = slices.select("slice", "ids", "n", "at").join(found, "slice", "left")
     kinds = slices.schema["ids"].dataType.simpleString()
-    return checkpointed(joined.select("ids", "n", "at", "found").mapInArrow(_units, f"ids {kinds}, n array<long>, share array<double>, unit binary"))
+    shares = Shares(units.unseen[1], units.log_mass)
+    return checkpointed(joined.select("ids", "n", "at", "found").mapInArrow(partial(_units, shares=shares), f"ids {kinds}, n array<long>, share array<double>, unit binary"))
 
 
 def _unpacked(n: pa.Array, unit: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
