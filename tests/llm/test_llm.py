@@ -274,6 +274,72 @@ def test_grammar_scores_clauses():
     assert run("will kill") > 0 == run("kill time")
 
 
+def plain_clause(symbols):
+    """The grammar's rules, one word after the other."""
+    negated, reported, targeted, armed, total = 0, False, False, False, 0.0
+    for symbol, weight in symbols:
+        damp = (toxicity.NEGATED if negated else 1.0) * (toxicity.REPORTED if reported else 1.0)
+        if symbol == toxicity.INSULT or (symbol == toxicity.THREAT and armed):
+            total += weight * damp
+        negated = toxicity.NEGATION_SCOPE if symbol == toxicity.NEGATION else max(0, negated - 1)
+        reported |= symbol == toxicity.REPORT
+        targeted |= symbol == toxicity.TARGET
+        armed |= symbol in (toxicity.TARGET, toxicity.FUTURE)
+    return total * toxicity.TARGETED if targeted else total
+
+
+def test_composed_transducers_equal_plain_rules():
+    rng = np.random.default_rng(3)
+    symbol = rng.integers(0, toxicity.SYMBOLS, 4000)
+    weight = np.where(symbol == toxicity.INSULT, rng.random(4000) * 6, np.where(symbol == toxicity.THREAT, toxicity.THREAT_WEIGHT, 0.0))
+    cuts = np.unique(np.concatenate([[0, 4000], rng.integers(0, 3000, 300)]))  # the last clause is long
+    got = toxicity.Grammar().clauses(symbol, weight, cuts[:-1], cuts[1:])
+    want = [plain_clause(zip(symbol[a:b].tolist(), weight[a:b].tolist(), strict=True)) for a, b in zip(cuts, cuts[1:], strict=False)]
+    assert got == pytest.approx(want)
+    # A composition does what its parts do one after the other.
+    one, two = toxicity.threat(), toxicity.target()
+    both = one.compose(two)
+    p = q = r = 0
+    for a in symbol[:500].tolist():
+        p, b, w = one.arcs[p, a]
+        q, c, v = two.arcs[q, b]
+        r, d, u = both.arcs[r, a]
+        assert (c, w * v, one.final[p] * two.final[q]) == (d, u, both.final[r])
+
+
+def test_lexicon_equals_plain_lookup():
+    insults = {"fool": 4.0, "dolt*": 3.0, "dolti*": 2.0, "doltish": 1.0, "kille*": 5.0, "your": 2.5}
+    g = toxicity.Grammar(insults)
+    lists = ((toxicity.THREAT, toxicity.THREATS), (toxicity.NEGATION, toxicity.NEGATIONS), (toxicity.REPORT, toxicity.REPORTS), (toxicity.FUTURE, toxicity.FUTURES), (toxicity.TARGET, toxicity.TARGETS))
+    words = ["", "fool", "fools", "foo", "dolt", "dolts", "doltis", "doltish", "doltishly", "killer", "kille", "your", "\u4f60\u597d", *(w for _, ws in lists for w in ws)]
+    for w in words:
+        found = [(toxicity.INSULT, insults[f]) for f in toxicity.features(w) if f in insults]
+        found += [(s, toxicity.THREAT_WEIGHT if s == toxicity.THREAT else 0.0) for s, ws in lists if w in ws]
+        assert g.lexical(w) == (found + [(toxicity.NOTHING, 0.0)])[0], w
+
+
+def test_toxicity_scores_equal_brute_force(spark, odd):
+    g = toxicity.Grammar({"one": 4.0, "lazy": 2.0, "seco*": 1.5, "null": 3.0, "w5x5": 0.5}, np.array([-2.0, 1.0, 0.7, 0.3]))
+    more = spark.createDataFrame([(20, "You fool. She said: you lazy one!\nNot one; will kill second"), (21, "one\x0btwo one \u00e9one (one) One?one")], "doc_id long, text string")
+    docs = odd.select("doc_id", "text").union(more)
+    want = []
+    for r in docs.collect():
+        scores = []
+        for line in (r["text"] or "").split("\n"):
+            clause = []
+            for w in re.findall(r"[^\x20\x09-\x0D]+", line) + [None]:
+                if w is not None:
+                    clause.append(g.lexical(toxicity.normal(w)))
+                if w is None or w[-1] in ".!?;:":
+                    scores.append(plain_clause(clause))
+                    clause = []
+        hit = [c for c in scores if c > 0]
+        x = np.array([1.0, np.log1p(sum(hit)), max(hit, default=0.0) / 10, np.log1p(len(hit))]) @ g.weights
+        want.append((r["doc_id"] or -1, round(1 / (1 + np.exp(-x)), 6), len(hit)))
+    got = [(r["doc_id"] or -1, round(r["score"], 6), r["n_clauses"]) for r in toxicity.score(docs, g).collect()]
+    assert sorted(got) == sorted(want) and len({s for _, s, _ in got}) > 3
+
+
 def test_toxicity(spark, odd, labels, docs):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     out = toxicity.toxicity(docs, labels).join(labels, "doc_id").where("held_out")

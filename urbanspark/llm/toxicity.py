@@ -1,12 +1,16 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Four transducers are composed. The lexicon maps a word to an insult (with a weight), a
-threat, a target, a negation, a reporting verb, a future marker or nothing. The negation
-transducer damps what follows within ``NEGATION_SCOPE`` words, the reported-speech
-transducer damps the rest of its clause, and the target transducer raises a clause that
-also names whom it is about; a threat counts when a future marker or a target precedes
-it. A clause runs to sentence punctuation or a line end and scores as a whole; a document
-is scored by a logistic function of its clauses' scores.
+The lexicon, a trie over characters, turns a word into a symbol with a weight: an insult, a
+threat, a target, a negation, a reporting verb, a future marker or nothing. Four
+transducers over these symbols follow it, each a set of states and weighted arcs. The
+negation transducer damps what follows within ``NEGATION_SCOPE`` words, the
+reported-speech transducer damps the rest of its clause, the threat transducer lets a
+threat pass only after a future marker or a target, and the target transducer raises a
+clause that also names whom it is about. They are composed into one, compiled to arrays
+over (state, symbol), and numpy runs all clauses of a slice through it abreast. A clause
+runs to sentence punctuation or a line end. A path through it marks one insult or threat
+and weighs what the lexicon, the arc and the final state give; a clause's score is the
+sum over its paths, a document's a logistic function of its clauses' scores.
 
 Insults are learned from labelled documents: words and word beginnings that mark toxic
 documents, chosen greedily so that each toxic document of the sample has three of them.
@@ -53,6 +57,7 @@ NEGATED, REPORTED, TARGETED, THREAT_WEIGHT = 0.5, 0.6, 1.25, 3.0
 PREFIXES = (4, 5, 6, 7, 8)
 CACHED_WORDS = 300_000
 NOTHING, INSULT, THREAT, TARGET, NEGATION, REPORT, FUTURE = range(7)
+SYMBOLS, MATCHED = 7, (INSULT, THREAT)
 _CLAUSE_END = np.zeros(256, bool)
 _CLAUSE_END[[ord(c) for c in ".!?;:"]] = True
 
@@ -69,43 +74,147 @@ def features(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
 
 
+@dataclass
+class Transducer:
+    """A deterministic transducer over symbols.
+
+    ``arcs`` holds (next state, symbol put out, weight) by (state, symbol read), ``final`` the
+    weight of ending in each state. State 0 is the start.
+    """
+
+    arcs: dict[tuple[int, int], tuple[int, int, float]]
+    final: list[float]
+
+    @staticmethod
+    def built(states: int, arc, final=lambda state: 1.0) -> Transducer:
+        """From ``arc(state, symbol)`` and ``final(state)``."""
+        return Transducer({(q, a): arc(q, a) for q in range(states) for a in range(SYMBOLS)}, [final(q) for q in range(states)])
+
+    def compose(self, other: Transducer) -> Transducer:
+        """What ``other`` makes of this one's output: reachable pairs of states, weights multiplied."""
+        number, queue, arcs, final = {(0, 0): 0}, [(0, 0)], {}, []
+        for p, q in queue:
+            final.append(self.final[p] * other.final[q])
+            for a in range(SYMBOLS):
+                p2, b, w = self.arcs[p, a]
+                q2, c, v = other.arcs[q, b]
+                if (p2, q2) not in number:
+                    number[p2, q2] = len(queue)
+                    queue.append((p2, q2))
+                arcs[number[p, q], a] = number[p2, q2], c, w * v
+        return Transducer(arcs, final)
+
+    def compiled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Next state and weight by (state, symbol), and final weights. An arc that puts out no match weighs 0."""
+        following = np.zeros((len(self.final), SYMBOLS), np.int64)
+        weight = np.zeros((len(self.final), SYMBOLS))
+        for (q, a), (q2, b, w) in self.arcs.items():
+            following[q, a] = q2
+            weight[q, a] = w if b in MATCHED else 0.0
+        return following, weight, np.array(self.final)
+
+
+def negation() -> Transducer:
+    """The state is the number of words still damped."""
+    return Transducer.built(NEGATION_SCOPE + 1, lambda q, a: (NEGATION_SCOPE if a == NEGATION else max(0, q - 1), a, NEGATED if q else 1.0))
+
+
+def reported_speech() -> Transducer:
+    return Transducer.built(2, lambda q, a: (1 if a == REPORT else q, a, REPORTED if q else 1.0))
+
+
+def threat() -> Transducer:
+    """Passes threats only where a future marker or a target came before."""
+    return Transducer.built(2, lambda q, a: (1 if a in (FUTURE, TARGET) else q, NOTHING if a == THREAT and not q else a, 1.0))
+
+
+def target() -> Transducer:
+    return Transducer.built(2, lambda q, a: (1 if a == TARGET else q, a, 1.0), lambda q: TARGETED if q else 1.0)
+
+
+def pattern() -> Transducer:
+    return negation().compose(reported_speech()).compose(threat()).compose(target())
+
+
+def run_clauses(table: tuple[np.ndarray, np.ndarray, np.ndarray], symbol: np.ndarray, weight: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The scores of the clauses ``begins[i]:ends[i]`` of a symbol sequence, all advanced a word at a time."""
+    following, factor, final = table
+    order = np.argsort(begins - ends, kind="stable")
+    at, length = begins[order], (ends - begins)[order]
+    state, total = np.zeros(len(at), np.int64), np.zeros(len(at))
+    longest = int(length.max(initial=0))
+    # Clauses come longest first, so those that still have a word t are the first going[t].
+    going = np.searchsorted(-length, -np.arange(longest), "left")
+    for t, n in enumerate(going.tolist()):
+        read = symbol[at[:n] + t]
+        total[:n] += weight[at[:n] + t] * factor[state[:n], read]
+        state[:n] = following[state[:n], read]
+    out = np.empty(len(at))
+    out[order] = total * final[state]
+    return out
+
+
+class Lexicon:
+    """Words to symbols: a trie whose states may put out a match for the whole word or for any longer one."""
+
+    def __init__(self, insults: dict[str, float]) -> None:
+        self.arcs: list[dict[str, int]] = [{}]
+        self.whole: dict[int, tuple[int, float]] = {}
+        self.beginning: dict[int, tuple[int, float]] = {}
+        for symbol, words in ((TARGET, TARGETS), (FUTURE, FUTURES), (REPORT, REPORTS), (NEGATION, NEGATIONS), (THREAT, THREATS)):
+            for w in sorted(words):
+                self.whole[self._state(w)] = symbol, THREAT_WEIGHT if symbol == THREAT else 0.0
+        for f, weight in insults.items():
+            if f.endswith("*"):
+                self.beginning[self._state(f[:-1])] = INSULT, weight
+            else:
+                self.whole[self._state(f)] = INSULT, weight
+
+    def _state(self, word: str) -> int:
+        state = 0
+        for c in word:
+            if c not in self.arcs[state]:
+                self.arcs[state][c] = len(self.arcs)
+                self.arcs.append({})
+            state = self.arcs[state][c]
+        return state
+
+    def read(self, word: str) -> tuple[int, float]:
+        """A whole insult, else its shortest beginning that is one, else a function word, else nothing."""
+        state, begun = 0, None
+        for c in word:
+            if begun is None:
+                begun = self.beginning.get(state)
+            state = self.arcs[state].get(c, -1)
+            if state < 0:
+                return begun or (NOTHING, 0.0)
+        own = self.whole.get(state)
+        if own and own[0] == INSULT:
+            return own
+        return begun or own or (NOTHING, 0.0)
+
+
 @dataclass
 class Grammar:
     insults: dict[str, float] = field(default_factory=dict)
     #: Weights of bias, log total, greatest clause, log matched clauses; none before fitting.
     weights: np.ndarray | None = None
 
+    def __post_init__(self) -> None:
+        self.lexicon = Lexicon(self.insults)
+        self.table = pattern().compiled()
+
     def lexical(self, word: str) -> tuple[int, float]:
-        """The lexicon transducer: symbol and weight of a normalised word."""
-        for f in features(word):
-            if f in self.insults:
-                return INSULT, self.insults[f]
-        for symbol, words in ((THREAT, THREATS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (FUTURE, FUTURES), (TARGET, TARGETS)):
-            if word in words:
-                return symbol, 0.0
-        return NOTHING, 0.0
+        """Symbol and weight of a normalised word."""
+        return self.lexicon.read(word)
+
+    def clauses(self, symbol: np.ndarray, weight: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return run_clauses(self.table, symbol, weight, begins, ends)
 
     def clause(self, symbols: list[tuple[int, float]]) -> float:
-        """Runs the composed transducers over one clause: the weight of its accepted paths."""
-        negated = 0
-        reported = targeted = future = False
-        total = 0.0
-        for symbol, weight in symbols:
-            damp = (NEGATED if negated else 1.0) * (REPORTED if reported else 1.0)
-            negated = max(0, negated - 1)
-            if symbol == INSULT:
-                total += weight * damp
-            elif symbol == THREAT:
-                total += THREAT_WEIGHT * damp if future or targeted else 0.0
-            elif symbol == NEGATION:
-                negated = NEGATION_SCOPE
-            elif symbol == REPORT:
-                reported = True
-            elif symbol == FUTURE:
-                future = True
-            elif symbol == TARGET:
-                targeted = True
-        return total * TARGETED if targeted else total
+        """The score of one clause."""
+        symbol, weight = np.array([s for s, _ in symbols], np.int64), np.array([w for _, w in symbols], float)
+        return float(self.clauses(symbol, weight, np.array([0]), np.array([len(symbols)]))[0])
 
 
 def summary(clauses: list[float]) -> tuple[float, float, float, float]:
@@ -147,9 +256,10 @@ class Matcher:
         new[1:] = (rows[1:] != rows[:-1]) | _CLAUSE_END[data[ends[:-1] - 1]] | (lines[starts[1:]] != lines[starts[:-1]])
         clause = np.cumsum(new) - 1
         begins = np.append(np.flatnonzero(new), len(starts))
-        for c in np.unique(clause[(symbol == INSULT) | (symbol == THREAT)]).tolist():
-            a, b = begins[c], begins[c + 1]
-            out[rows[a]].append(self.grammar.clause(list(zip(symbol[a:b].tolist(), weight[a:b].tolist(), strict=True))))
+        matched = np.unique(clause[np.isin(symbol, MATCHED)])
+        scores = self.grammar.clauses(symbol, weight, begins[matched], begins[matched + 1])
+        for row, s in zip(rows[begins[matched]].tolist(), scores.tolist(), strict=True):
+            out[row].append(s)
         return out
 
 
