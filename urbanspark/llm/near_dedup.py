@@ -293,7 +293,13 @@ def _met(ranked: DataFrame, lead: DataFrame, similarity: tuple[int, int]) -> Dat
 
 
 def _colliding(pairs: DataFrame, signed: DataFrame, matches: int, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs whose signatures collide often enough and whose parity bits allow a link."""
+    """The pairs whose signatures may collide often enough and whose parity bits allow a link.
+
+    Eight bits of each minimum travel with a pair: equal minima stay equal, so no collision is missed, and
+    the few pairs that pass by equal bits of different minima are confirmed on full sets like all others.
+    """
+    short = F.transform("minima", lambda m: (m.bitwiseAND(F.lit(255)) - 128).cast("tinyint")).alias("minima")
+    signed = signed.select("node", short, *PARITIES)
     left, right = (signed.select(F.col("node").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("minima", *PARITIES))) for k in "ab")
     same = F.filter(F.zip_with("a_minima", "b_minima", lambda x, y: x == y), lambda s: s)
     return pairs.join(left, "a").join(right, "b").where(_apart("a_", "b_", F.col("both"), similarity)).where(F.size(same) >= matches)
