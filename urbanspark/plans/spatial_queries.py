@@ -109,10 +109,10 @@ def park_accessibility(spark, sf):
 
 @query("""WITH t AS (
       SELECT cell_id, sqrt(greatest(abs(c.x - a.x) - hw, 0) ** 2 + greatest(abs(c.y - a.y) - hw, 0) ** 2) AS d, 0.25 + 0.75 * (1 - exp(-4 * hw * hw / 100000)) AS q FROM cells c, areas a WHERE a.category = 'PROMO'
-      UNION ALL SELECT cell_id, sqrt(greatest(r.x0 - c.x, c.x - r.x1, 0) ** 2 + (c.y - r.y) ** 2), 0.85 FROM cells c, roads r WHERE r.id % 50 = 0)
+      UNION ALL SELECT cell_id, sqrt(greatest(r.x0 - c.x, c.x - r.x1, 0) ** 2 + (c.y - r.y) ** 2), 0.85 FROM cells c, (SELECT DISTINCT x0, x1, y FROM roads) r)
     SELECT c.cell_id, round(coalesce(max(exp(-ln(2) * (d / 1000) ** 2) * q), 0), 6) AS raw_value FROM cells c LEFT JOIN t ON t.cell_id = c.cell_id AND d <= 4000 GROUP BY 1""", "cells", "areas", "roads")
 def water_accessibility(spark, sf):
-    lines = synth.roads(spark, sf).where(F.col("id") % 50 == 0).select(F.col("id").alias("target_id"), F.lit("PROMO").alias("category"), "geom", F.lit(0.0).alias("area"))
+    lines = synth.roads(spark, sf).select(F.col("id").alias("target_id"), F.lit("PROMO").alias("category"), "geom", F.lit(0.0).alias("area"))
     both = synth.targets(synth.areas(spark, sf)).where("category = 'PROMO'").unionByName(lines)
     return metrics.PROVIDERS["water_accessibility"](synth.cells(spark, sf), both, {"boxes": True}).select("cell_id", R6("raw_value").alias("raw_value"))
 

@@ -122,10 +122,12 @@ def table_checksum(spark, sf):
     return merge.table_checksum(synth.table(spark, sf, "part"), ["p_partkey", "p_name", "p_brand", "p_size"])
 
 
-@query(_digest_sql(["'grid-200m'", "category", "id"], "areas"), "areas")
+@query(_digest_sql(["'grid-200m'", "category", "id", *(f"CAST({c} AS BIGINT)" for c in ("x - hw", "y - hw", "x + hw", "y + hw"))], "areas"), "areas")
 def input_fingerprint(spark, sf):
-    own = synth.areas(spark, sf).withColumn("grid", F.lit(grid.grid_version(200)))
-    return merge.table_checksum(own, ["grid", "category", "id"])
+    """Digest of the grid and each target's category, id and corners, so that a moved target changes it."""
+    corners = [F.col(f"geom.{c}").cast("long").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")]
+    own = synth.areas(spark, sf).select(F.lit(grid.grid_version(200)).alias("grid"), "category", "id", *corners)
+    return merge.table_checksum(own, own.columns)
 
 
 @query("SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN s_name || '!' ELSE s_name END AS s_name FROM supplier UNION ALL SELECT s_suppkey + 1000000, 'new' FROM supplier WHERE s_suppkey % 10 = 0")
@@ -241,9 +243,9 @@ RULES = [
 ]
 
 
-def tagged(spark, sf) -> DataFrame:
+def tagged(spark, sf, days: str = "true") -> DataFrame:
     """Observations with tags: kind, and rare for values over 50."""
-    o = synth.observations(spark, sf)
+    o = synth.observations(spark, sf).where(days)
     tags = F.map_filter(F.create_map(F.lit("kind"), F.col("kind"), F.lit("rare"), F.when(F.col("value") > 50, "yes")), lambda k, v: v.isNotNull())
     return o.select((F.col("user_id") * 100 + F.col("run")).alias("binding_id"), F.when(F.col("run") % 2 == 0, "node").otherwise("way").alias("source_type"), F.when(F.col("run") % 3 == 0, "line").otherwise("point").alias("family"), F.lit("feature").alias("kind"), tags.alias("tags"))
 
@@ -262,15 +264,21 @@ def category_rules(spark, sf):
 
 
 def evidence(spark, sf) -> DataFrame:
-    """Evidence of odd bindings from before, merged with the matches of those under 5000; others are out of scope."""
-    m = catalog.rule_matches(tagged(spark, sf), catalog.rules_frame(spark, RULES))
-    before = m.where(F.col("binding_id") % 2 == 1).select("binding_id", F.lit("old").alias("category"), F.lit("r0").alias("rule_id"), F.lit("active").alias("status"), F.lit(1).alias("first_run")).distinct()
-    scope = m.select("binding_id").where("binding_id < 5000").distinct()
-    return catalog.merge_evidence(before, m.where("binding_id < 5000"), 2, scope)
+    """Evidence of all bindings up to DAY and of a rule since given up, merged with the matches of every later one.
+
+    The scope is what was observed since DAY: the old rule's evidence ends there and stays elsewhere.
+    """
+    rules = catalog.rules_frame(spark, RULES)
+    early = catalog.rule_matches(tagged(spark, sf, f"run <= {DAY}"), rules).select("binding_id", "category", "rule_id")
+    since = tagged(spark, sf, f"run > {DAY}")
+    late = catalog.rule_matches(since, rules).select("binding_id", "category", "rule_id")
+    old = early.union(late).select("binding_id", F.lit("old").alias("category"), F.lit("r0").alias("rule_id")).distinct()
+    before = early.union(old).withColumns({"status": F.lit("active"), "first_run": F.lit(1)})
+    return catalog.merge_evidence(before, late, 2, since.select("binding_id").distinct())
 
 
-_EVIDENCE = _RULES + """, e AS (SELECT DISTINCT binding_id, 'old' AS category, 'r0' AS rule_id, CASE WHEN binding_id < 5000 THEN 'inactive' ELSE 'active' END AS status, 1 AS first_run FROM m WHERE binding_id % 2 = 1
-      UNION ALL SELECT binding_id, category, rule_id, 'active', 2 FROM m WHERE binding_id < 5000) """
+_EVIDENCE = _RULES + """, e AS (SELECT DISTINCT binding_id, 'old' AS category, 'r0' AS rule_id, CASE WHEN binding_id % 100 > 5 THEN 'inactive' ELSE 'active' END AS status, 1 AS first_run FROM m
+      UNION ALL SELECT binding_id, category, rule_id, 'active', CASE WHEN binding_id % 100 > 5 THEN 2 ELSE 1 END FROM m) """
 
 
 @query(_EVIDENCE + "SELECT * FROM e", "obs")
@@ -441,11 +449,11 @@ def relation_members(spark, sf):
     return order_members(spark, sf)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, l_partkey AS b FROM lineitem WHERE l_partkey % 3 = 2 AND l_orderkey <> l_partkey), r AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 100 = 7 UNION SELECT e.b FROM r JOIN e ON e.a = r.id) SELECT id FROM r""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, l_partkey AS b FROM lineitem WHERE l_partkey % 3 = 2 AND l_orderkey <> l_partkey), r AS (SELECT o_orderkey AS id FROM orders WHERE o_orderpriority = '1-URGENT' UNION SELECT e.b FROM r JOIN e ON e.a = r.id) SELECT id FROM r""")
 def relation_closure(spark, sf):
     m = synth.table(spark, sf, "lineitem").where((F.col("l_partkey") % 3 == 2) & (F.col("l_orderkey") != F.col("l_partkey")))
     edges = m.select(F.lit("relation").alias("kind"), F.col("l_orderkey").alias("id"), F.lit("relation").alias("to_kind"), F.col("l_partkey").alias("to_id")).distinct()
-    start = synth.table(spark, sf, "orders").where(F.col("o_orderkey") % 100 == 7).select(F.lit("relation").alias("kind"), F.col("o_orderkey").alias("id"))
+    start = synth.table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.lit("relation").alias("kind"), F.col("o_orderkey").alias("id"))
     return osm.reference_closure(start, edges).select("id")
 
 
