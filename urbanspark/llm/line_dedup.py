@@ -9,11 +9,10 @@ its places stay, and recurs if at least ``min_docs`` documents have it. The line
 recurring template are dropped from all documents but the first, the one of least
 doc_id, which keeps them.
 
-The pipeline's stage also drops repeats that no template is needed for (``exact_lines``):
-a line whose tokens, digits too, stand in at least two documents goes from all but the
-first, and a line of fewer than ``min_tokens`` tokens if at least ``short_docs`` have it.
-There a leaf of one kind of line meets the constant share like any other, so rows of
-different numbers stay.
+Repeats that no template is needed for go too (``exact_lines``): a line whose tokens,
+digits too, stand in at least two documents goes from all but the first, and a line of
+fewer than ``min_tokens`` tokens if at least ``short_docs`` have it. A leaf of one kind of
+line meets the constant share like any other, so rows of different numbers stay.
 
 Only leaves that enough documents reach are generalised, and only their distinct lines
 are read by token; a line that thousands share is one row there, with its document count.
@@ -40,8 +39,8 @@ from urbanspark.llm import rowkeys
 from urbanspark.llm import textbytes as tb
 
 DEPTH, MIN_TOKENS, MIN_DOCS = 3, 5, 3
-#: Documents that make an identical line recur, and one of fewer than MIN_TOKENS tokens.
-EXACT_DOCS, SHORT_DOCS = 2, 3
+#: Documents that make an identical line of fewer than MIN_TOKENS tokens recur; two make a longer one recur.
+SHORT_DOCS = 3
 #: Share of a template's places that must stay, in tenths.
 CONSTANT_TENTHS = 8
 _FIELD = np.uint64(0x2A3C2A3E)
@@ -101,22 +100,16 @@ def _tokens(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(tb.signed(leaf[keep])), pa.array(tb.signed(text[keep])), pa.ListArray.from_arrays(pa.array(bounds), pa.array(tb.signed(values)))], ["leaf", "text", "tokens"])
 
 
-def recurring_lines(docs: DataFrame, *, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, constant_tenths: int = CONSTANT_TENTHS, alone_whole: bool = True) -> DataFrame:
-    """(doc_id, line) of every line to drop from ``docs`` (doc_id, text).
-
-    ``alone_whole``: the one line of a leaf is a template whatever share of it stays, as in op2's SQL.
-    """
+def recurring_lines(docs: DataFrame, *, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, constant_tenths: int = CONSTANT_TENTHS) -> DataFrame:
+    """(doc_id, line) of every line of a recurring template in ``docs`` (doc_id, text)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     lines = checkpointed(docs.select("doc_id", "text").mapInArrow(partial(_lines, depth=depth, min_tokens=min_tokens), f"doc_id {id_type}, line int, n int, leaf long, text long").distinct())
     once = lines.groupBy("leaf", "text", "n", "doc_id").agg(F.min("line").alias("line"))
     distinct = once.groupBy("leaf", "text", "n").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "line")).alias("carrier"))
-    reached = distinct.groupBy("leaf").agg(F.sum("docs").alias("d"), F.count("*").alias("kinds")).where(F.col("d") >= min_docs).select("leaf", "kinds")
-    distinct = checkpointed(distinct.join(reached, "leaf"))
+    reached = distinct.groupBy("leaf").agg(F.sum("docs").alias("d")).where(F.col("d") >= min_docs).select("leaf")
+    mixed = checkpointed(distinct.join(reached, "leaf"))
 
-    # A leaf of one line may be its own template; others are generalised by place.
-    single = (F.col("kinds") == 1) & F.lit(alone_whole)
-    alone = distinct.where(single).select("leaf", "text", F.lit(0).cast("long").alias("form"))
-    mixed = distinct.where(~single).select("leaf", "text", "n", "docs", "carrier")
+    # Each distinct line of a leaf is read once, from the document that carries it.
     wanted = mixed.groupBy(F.col("carrier.doc_id").alias("__id")).agg(F.collect_set("carrier.line").alias("wanted"))
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["__id"])).select("text", "wanted")
     tokens = texts.mapInArrow(partial(_tokens, depth=depth), "leaf long, text long, tokens array<long>").dropDuplicates(["leaf", "text"])
@@ -124,25 +117,34 @@ def recurring_lines(docs: DataFrame, *, depth: int = DEPTH, min_tokens: int = MI
     staying = placed.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("d")).where(F.col("d") >= min_docs).drop("d")
     stays = placed.join(staying, ["leaf", "place", "token"]).where(F.col("token") != int(_FIELD))
     forms = stays.groupBy("leaf", "text", "n").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("place", "token")).alias("form"))
-    general = forms.where(F.col("c") * 10 >= F.col("n") * constant_tenths).select("leaf", "text", "form")
-
-    template = alone.union(general)
+    template = forms.where(F.col("c") * 10 >= F.col("n") * constant_tenths).select("leaf", "text", "form")
     held = checkpointed(lines.join(template, ["leaf", "text"]).select("leaf", "form", "doc_id", "line"))
     owners = held.groupBy("leaf", "form", "doc_id").agg(F.lit(1).alias("one"))
     recurring = owners.groupBy("leaf", "form").agg(F.count("*").alias("d"), F.min("doc_id").alias("first")).where(F.col("d") >= min_docs)
     return held.join(recurring, ["leaf", "form"]).where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "line").distinct()
 
 
-def exact_lines(docs: DataFrame, *, min_tokens: int = MIN_TOKENS, exact_docs: int = EXACT_DOCS, short_docs: int = SHORT_DOCS) -> DataFrame:
-    """(doc_id, line) of every line of ``docs`` (doc_id, text) that stands identically in an earlier document, if enough have it."""
+def exact_lines(docs: DataFrame, *, min_tokens: int = MIN_TOKENS, short_docs: int = SHORT_DOCS) -> DataFrame:
+    """(doc_id, line) of every line of ``docs`` (doc_id, text) that stands identically in an earlier document, if enough have it.
+
+    The least and the greatest doc_id of a line tell whether it has two documents, so nothing is gathered by line;
+    null doc_ids are one document beside them.
+    """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     lines = checkpointed(docs.select("doc_id", "text").mapInArrow(_whole_lines, f"doc_id {id_type}, line int, n int, text long"))
-    owners = lines.select("text", "n", "doc_id").distinct().groupBy("text", "n").agg(F.count("*").alias("d"), F.min("doc_id").alias("first"))
-    enough = F.when(F.col("n") < min_tokens, short_docs).otherwise(exact_docs)
-    recurring = owners.where(F.col("d") >= enough).drop("d")
+    owners = lines.groupBy("text", "n").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.bool_or(F.col("doc_id").isNull()).alias("unnamed"))
+    two = owners.where((F.col("first") != F.col("last")) | (F.col("unnamed") & F.col("first").isNotNull())).select("text", "n", "first")
+    short = lines.where(F.col("n") < min_tokens).select("text", "n", "doc_id").distinct().groupBy("text", "n").agg(F.count("*").alias("d"))
+    enough = short.where(F.col("d") >= short_docs).select("text", "n")
+    recurring = two.where(F.col("n") >= min_tokens).union(two.join(enough, ["text", "n"], "left_semi"))
     return lines.join(recurring, ["text", "n"]).where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "line").distinct()
 
 
+def repeats(docs: DataFrame, *, min_tokens: int = MIN_TOKENS, short_docs: int = SHORT_DOCS, **options) -> DataFrame:
+    """(doc_id, line) of every line to drop from ``docs`` (doc_id, text): of a recurring template, or an identical repeat."""
+    return recurring_lines(docs, min_tokens=min_tokens, **options).union(exact_lines(docs, min_tokens=min_tokens, short_docs=short_docs))
+
+
 def drop_lines(docs: DataFrame, drops: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the lines named in ``drops`` (doc_id, line); adds __dropped, their numbers."""
     per_doc = drops.groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_set("line")).alias("__dropped"))
@@ -154,7 +156,7 @@ def drop_lines(docs: DataFrame, drops: DataFrame, *, id_col: str = "doc_id", tex
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(doc_id, n_lines, n_dropped, dropped_lines, text): each text without its recurring lines."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    left = drop_lines(docs.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long")), recurring_lines(docs, **options))
+    left = drop_lines(docs.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long")), repeats(docs, **options))
     dropped = F.coalesce("__dropped", F.array().cast("array<int>"))
     n_lines = F.when(F.col("text").isNull() & (F.size(dropped) == 0), F.lit(0)).otherwise(F.col("n_lines")).cast("long")
     return left.select("doc_id", n_lines.alias("n_lines"), F.size(dropped).cast("long").alias("n_dropped"), dropped.alias("dropped_lines"), "text")
@@ -164,7 +166,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines go; a document whose every word was in them goes too. n_chars is renewed."""
     rows = rowkeys.keyed(docs)
     named = rowkeys.named(rows)
-    left = drop_lines(rows, recurring_lines(named, alone_whole=False).union(exact_lines(named)), id_col=rowkeys.KEY)
+    left = drop_lines(rows, repeats(named), id_col=rowkeys.KEY)
     emptied = F.col("__dropped").isNotNull() & (F.regexp_replace("text", r"[\x20\x09-\x0D]+", "") == "")
     left = left.where(~F.coalesce(emptied, F.lit(False)))
     if "n_chars" in docs.columns:

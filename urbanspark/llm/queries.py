@@ -80,18 +80,21 @@ ORACLE = {
           SELECT doc_id, line, n, string_agg(t, ' ' ORDER BY p) AS body, n || ' ' || string_agg(t, ' ' ORDER BY p) FILTER (p <= 3) AS leaf
           FROM each GROUP BY doc_id, line, n),
         kinds AS (SELECT leaf, body, n, count(DISTINCT doc_id) AS docs FROM lines GROUP BY 1, 2, 3),
-        leaves AS (SELECT leaf, sum(docs) AS d, count(*) AS k FROM kinds GROUP BY 1 HAVING sum(docs) >= 3),
-        cand AS (SELECT kinds.*, k FROM kinds JOIN leaves USING (leaf)),
-        placed AS (SELECT leaf, body, n, docs, p, string_split(body, ' ')[p] AS t FROM (SELECT *, unnest(range(1, n + 1)) AS p FROM cand WHERE k > 1)),
+        leaves AS (SELECT leaf FROM kinds GROUP BY 1 HAVING sum(docs) >= 3),
+        cand AS (SELECT kinds.* FROM kinds JOIN leaves USING (leaf)),
+        placed AS (SELECT leaf, body, n, docs, p, string_split(body, ' ')[p] AS t FROM (SELECT *, unnest(range(1, n + 1)) AS p FROM cand)),
         staying AS (SELECT leaf, p, t FROM placed GROUP BY 1, 2, 3 HAVING sum(docs) >= 3),
         forms AS (
           SELECT leaf, body, n, string_agg(p || ':' || t, ' ' ORDER BY p) AS form, count(*) AS c
           FROM placed JOIN staying USING (leaf, p, t) WHERE t <> '<*>' GROUP BY 1, 2, 3),
-        template AS (
-          SELECT leaf, body, '' AS form FROM cand WHERE k = 1 UNION ALL SELECT leaf, body, form FROM forms WHERE c * 10 >= n * 8),
+        template AS (SELECT leaf, body, form FROM forms WHERE c * 10 >= n * 8),
         held AS (SELECT lines.leaf, form, doc_id, line FROM lines JOIN template USING (leaf, body)),
         recurring AS (SELECT leaf, form, min(doc_id) AS owner FROM held GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 3),
-        dropped AS (SELECT DISTINCT doc_id, line FROM held JOIN recurring USING (leaf, form) WHERE doc_id <> owner),
+        whole AS (SELECT doc_id, line, len(w) AS n, array_to_string(w, ' ') AS body FROM toks WHERE len(w) > 0),
+        same AS (SELECT body, min(doc_id) AS owner FROM whole GROUP BY body, n HAVING count(DISTINCT doc_id) >= CASE WHEN n < 5 THEN 3 ELSE 2 END),
+        dropped AS (
+          SELECT doc_id, line FROM held JOIN recurring USING (leaf, form) WHERE doc_id <> owner
+          UNION SELECT doc_id, line FROM whole JOIN same USING (body) WHERE doc_id <> owner),
         per_doc AS (
           SELECT cut.doc_id, count(*) AS n_lines, count(d.line) AS n_dropped, string_agg(CAST(d.line AS VARCHAR), ',' ORDER BY d.line) AS ds,
                  string_agg(body, chr(10) ORDER BY cut.line) FILTER (d.line IS NULL) AS left_over
