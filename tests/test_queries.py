@@ -27,7 +27,7 @@ def plain(v):
 
 
 #: One query of each family; the driver runs them all.
-SAMPLE = "grid_diff assign_polygon_tiebreak count_within_radius park_accessibility composite_topk district_distribution explain_target heatmap_tiles snapshot_merge canonicalize category_evidence category_rollup category_report input_fingerprint water_accessibility facility_groups street_components viewport_districts search_batch relation_closure way_geometry table_checksum source_completeness coverage_matrix".split()
+SAMPLE = "grid_diff assign_polygon_tiebreak count_within_radius park_accessibility composite_topk district_distribution explain_target heatmap_tiles snapshot_merge canonicalize search_shaped ledger_append latest_runs illegal_transitions street_candidates extract_relations drop_unsupported staged_counts inspect_members category_evidence category_rollup category_report input_fingerprint water_accessibility facility_groups street_components viewport_districts search_batch relation_closure way_geometry table_checksum source_completeness coverage_matrix".split()
 
 
 @pytest.mark.parametrize("name", SAMPLE)

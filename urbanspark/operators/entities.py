@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 
 from urbanspark.functions import geometry as G
 from urbanspark.functions.session import checkpointed
-from urbanspark.functions.text import uuid5
+from urbanspark.functions.text import normalize_search, uuid5
 from urbanspark.operators import merge, spatial
 
 
@@ -143,6 +143,26 @@ def facility_report(pairs: DataFrame) -> DataFrame:
 # Streets
 
 
+def street_candidates(roads: DataFrame, members: DataFrame, relations: DataFrame) -> DataFrame:
+    """(id, name, search_name, geom, relation_keys) of active roads that are lines and have a search name.
+
+    roads: (id, name, status, geom, source_id, source_type, source_object_id); members:
+    (source_id, relation_id, member_type, member_id); relations: (source_id, relation_id,
+    relation_type, name). A street relation counts for a road of its own name, a dual
+    carriageway for each of its ways.
+    """
+    lines = F.col("geom.gtype").isin("LINESTRING", "MULTILINESTRING")
+    named = roads.where((F.col("status") == "active") & lines).withColumn("search_name", normalize_search(F.col("name"))).where("search_name <> ''")
+    dual = F.col("relation_type") == "dual_carriageway"
+    kinds = relations.where(F.col("relation_type").isin("street", "associatedStreet") | dual).select("source_id", "relation_id", "relation_type", normalize_search(F.col("name")).alias("__name"))
+    held = members.where("member_type = 'way'").select("source_id", "relation_id", "member_id").join(kinds, ["source_id", "relation_id"])
+    ways = named.where("source_type = 'way'").select("id", "source_id", F.col("source_object_id").alias("member_id"), "search_name")
+    of = ways.join(held, ["source_id", "member_id"]).where(dual | (F.col("__name") == F.col("search_name")))
+    key = F.concat_ws(":", F.col("source_id").cast("string"), "relation_type", F.col("relation_id").cast("string"))
+    keys = of.groupBy("id").agg(F.array_sort(F.collect_set(key)).alias("relation_keys"))
+    return named.join(keys, "id", "left").select("id", "name", "search_name", "geom", F.coalesce("relation_keys", F.array().cast("array<string>")).alias("relation_keys"))
+
+
 def cluster_lines(lines: DataFrame, line_id: str, key: str, gap: float) -> DataFrame:
     """(line_id, key, component) of the graph of lines at most ``gap`` apart; a lone line is its own."""
     # Equal lines are linked through the one of least id, so that only distinct ones are compared.

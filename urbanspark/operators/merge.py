@@ -67,14 +67,38 @@ def current_pointer(publications: DataFrame, keys: Sequence[str] = ("metric_key"
     return latest(publications, keys, "run_id", ["seq", "run_id"])
 
 
+def may_follow(before: Column, state: Column) -> Column:
+    """Whether a run in state ``before`` (null: none yet) may enter ``state``."""
+    ok = before.isNull() & (state == "pending")
+    for source, targets in TRANSITIONS.items():
+        if targets:
+            ok = ok | ((before == source) & state.isin(*targets))
+    return F.coalesce(ok, F.lit(False))
+
+
+def ledger_append(ledger: DataFrame, incoming: DataFrame, run: str = "run_id", state: str = "state", order: str = "seq") -> DataFrame:
+    """(run, order, state, accepted) of incoming events: the accepted ones are to be appended.
+
+    Of the events of one run only the first is taken, and only if it may follow the run's
+    last state in the ledger; the caller offers the others again after the append.
+    """
+    last = ledger.groupBy(run).agg(F.max_by(state, order).alias("__before"))
+    first = incoming.groupBy(run).agg(F.min(order).alias("__first"))
+    placed = incoming.join(first, run).join(last, run, "left")
+    accepted = (F.col(order) == F.col("__first")) & may_follow(F.col("__before"), F.col(state))
+    return placed.select(run, order, state, accepted.alias("accepted"))
+
+
+def latest_runs(events: DataFrame, k: int, run: str = "run_id", state: str = "state", order: str = "seq") -> DataFrame:
+    """The k runs of the newest events: (run, state, started, seq, events)."""
+    per = events.groupBy(run).agg(F.max_by(state, order).alias("state"), F.min(order).alias("started"), F.max(order).alias("seq"), F.count("*").alias("events"))
+    return per.orderBy(F.desc("seq"), run).limit(k)
+
+
 def illegal_transitions(events: DataFrame, run: str = "run_id", state: str = "state", order: str = "seq") -> DataFrame:
     """Events whose state may not follow the one before; a run starts as pending."""
     before = F.lag(state).over(W.partitionBy(run).orderBy(order))
-    ok = before.isNull() & (F.col(state) == "pending")
-    for source, targets in TRANSITIONS.items():
-        if targets:
-            ok = ok | ((before == source) & F.col(state).isin(*targets))
-    return events.withColumn("previous", before).withColumn("ok", F.coalesce(ok, F.lit(False))).where(~F.col("ok")).drop("ok")
+    return events.withColumn("previous", before).withColumn("ok", may_follow(F.col("previous"), F.col(state))).where(~F.col("ok")).drop("ok")
 
 
 def coverage(values: DataFrame, grid: DataFrame, key: str = "cell_id", value: str = "raw_value") -> DataFrame:

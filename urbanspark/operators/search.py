@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from urbanspark.functions import geometry as G
-from urbanspark.functions.text import trgm_similarity, trigrams
+from urbanspark.functions.text import trgm_similarity
 from urbanspark.operators import spatial
 
 
@@ -52,14 +52,18 @@ def match_class(name: Column, query: Column) -> Column:
     return F.when(name == query, 0).when(F.startswith(name, query), 1).when(F.contains(F.concat(F.lit(" "), name), F.concat(F.lit(" "), query)), 2).otherwise(3)
 
 
-def search_branches(objects: DataFrame, facilities: DataFrame, streets: DataFrame, query: str, *, categories: Sequence[str] | None = None, include_objects: bool = True) -> DataFrame:
+def search_branches(objects: DataFrame, facilities: DataFrame, streets: DataFrame, query: str, *, categories: Sequence[str] | None = None, include_objects: bool = True, districts: DataFrame | None = None) -> DataFrame:
     """(kind, id, name) of objects, facilities and streets whose name contains the query.
 
     objects: (id, name, category, entity), entity null for those that no facility or street
     collapses; facilities: (id, name, category), one row for each member name; streets: (id,
     name). ``%`` and ``_`` in the query stay wildcards. Streets ignore the category filter
-    and ``include_objects``.
+    and ``include_objects``. With ``districts`` (geom) all three must have a geom that meets
+    one of them.
     """
+    if districts is not None:
+        scope = districts.select(F.col("geom").alias("district_geom"))
+        objects, facilities, streets = (spatial.within_districts(df, scope) for df in (objects, facilities, streets))
     like = F.col("name").like(f"%{query}%")
     wanted = F.lit(True) if categories is None else F.col("category").isin(*categories)
     found = streets.where(like).select(F.lit("street").alias("kind"), "id", "name")
@@ -82,6 +86,12 @@ def rank(found: DataFrame, query: Column, k: int, by: Sequence[str] = ()) -> Dat
     return scored.withColumn("place", place).where(F.col("place") <= k).select(*by, "kind", "id", "name", "match_class", "similarity", "duplicate", "place")
 
 
+def shape_results(top: DataFrame, geometries: DataFrame) -> DataFrame:
+    """``top`` (kind, id, ...) with geometry_type, a representative point x, y and the bounds of its geometry (kind, id, geom)."""
+    shaped = top.join(geometries.select("kind", "id", "geom"), ["kind", "id"]).withColumn("__p", G.representative_point(F.col("geom")))
+    return shaped.select(*top.columns, F.col("geom.gtype").alias("geometry_type"), "__p.x", "__p.y", *(F.col(f"geom.{c}").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")))
+
+
 def search_batch(names: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Many queries at once: names (kind, id, name) against queries (query), 3 to 100 characters.
 
@@ -94,7 +104,3 @@ def search_batch(names: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     posted = names.select("name").distinct().where(F.length("name") >= 3).select("name", F.explode(F.array_distinct(gram(F.col("name")))).alias("gram"))
     met = posted.join(asked, "gram").where(F.contains("name", "query")).select("query", "name")
     return rank(met.join(names, "name"), F.col("query"), k, by=["query"])
-
-
-def distinct_trigrams(name: Column) -> Column:
-    return trigrams(name)

@@ -309,6 +309,26 @@ def search_ranked(spark, sf):
     return search.rank(search.search_branches(objects, facilities, streets, "widget"), F.lit("widget"), 20)
 
 
+_SHAPES = """shape AS (SELECT 'object' AS kind, id, 'POLYGON' AS geometry_type, x, y, x - hw AS xmin, y - hw AS ymin, x + hw AS xmax, y + hw AS ymax FROM areas
+      UNION ALL SELECT 'facility', id, 'POINT', x, y, x, y, x, y FROM pts), scope AS (SELECT * FROM districts WHERE district_id IN ('NATION_6', 'NATION_7', 'NATION_8')) """
+
+
+@query(f"""WITH {_SHAPES}, found AS (SELECT 'widget' AS query, kind, id, name FROM (SELECT 'object' AS kind, p_partkey AS id, p_name AS name FROM part
+      UNION ALL SELECT 'facility', s_suppkey, p_name FROM supplier JOIN part ON p_partkey = s_suppkey) n JOIN shape USING (kind, id)
+      WHERE name LIKE '%widget%' AND EXISTS (SELECT 1 FROM scope d WHERE xmin <= d.x1 AND xmax >= d.x0 AND ymin <= d.y1 AND ymax >= d.y0)),
+    """ + _RANK + "SELECT kind, id, name, match_class, similarity, CAST(duplicate AS INTEGER) AS duplicate, geometry_type, x, y, xmin, ymin, xmax, ymax FROM o JOIN shape USING (kind, id) WHERE place <= 20", "pts", "areas", "districts")
+def search_shaped(spark, sf):
+    areas, supplier = synth.areas(spark, sf), synth.table(spark, sf, "supplier")
+    objects = areas.select("id", "name", "category", "geom", F.lit(None).cast("long").alias("entity"))
+    shown = synth.points(spark, sf).select("id", "geom")
+    facilities = supplier.select(F.col("s_suppkey").alias("id")).join(areas.select("id", "name", "category"), "id").join(shown, "id")
+    streets = synth.roads(spark, sf).select("id", "name", "geom")
+    some = synth.districts(spark, sf).where(F.col("district_id").isin("NATION_6", "NATION_7", "NATION_8"))
+    top = search.rank(search.search_branches(objects, facilities, streets, "widget", districts=some), F.lit("widget"), 20)
+    of = lambda df, kind: df.select(F.lit(kind).alias("kind"), "id", "geom")
+    return search.shape_results(top, of(objects, "object").union(of(facilities, "facility")).union(of(streets, "street")))
+
+
 @query("""WITH q AS (SELECT DISTINCT substr(s_name, 1, 15) AS query FROM supplier UNION SELECT DISTINCT string_split(p_name, ' ')[2] FROM part),
     n AS (SELECT 'object' AS kind, p_partkey AS id, p_name AS name FROM part UNION ALL SELECT 'facility', s_suppkey, s_name FROM supplier),
     found AS (SELECT query, kind, id, name FROM n JOIN q ON contains(name, query) WHERE length(query) BETWEEN 3 AND 100),

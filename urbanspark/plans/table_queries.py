@@ -85,10 +85,30 @@ def publish_plan(spark, sf):
 
 @query("SELECT run_id, seq, state, previous FROM (SELECT run_id, seq, state, lag(state) OVER (PARTITION BY run_id ORDER BY seq) AS previous FROM (SELECT user_id AS run_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'running' WHEN 'signup' THEN 'staged' WHEN 'purchase' THEN 'success' ELSE 'failed' END AS state FROM events)) WHERE NOT coalesce((previous IS NULL AND state = 'pending') OR (previous = 'pending' AND state IN ('running', 'failed')) OR (previous = 'running' AND state IN ('staged', 'success', 'failed')) OR (previous = 'staged' AND state IN ('success', 'failed')), false)")
 def illegal_transitions(spark, sf):
+    return merge.illegal_transitions(run_events(spark, sf))
+
+
+_RUNS = """WITH e AS (SELECT user_id AS run_id, event_id AS seq, day(ts) AS d, CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'running' WHEN 'signup' THEN 'staged' WHEN 'purchase' THEN 'success' ELSE 'failed' END AS state FROM events) """
+
+
+def run_events(spark, sf, days: str = "true") -> DataFrame:
+    """Events as states of their user's run."""
     state = F.lit("failed")
     for event, name in (("view", "pending"), ("click", "running"), ("signup", "staged"), ("purchase", "success")):
         state = F.when(F.col("event_type") == event, name).otherwise(state)
-    return merge.illegal_transitions(synth.table(spark, sf, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), state.alias("state")))
+    e = synth.table(spark, sf, "events").withColumn("d", F.dayofmonth("ts")).where(days)
+    return e.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), state.alias("state"))
+
+
+@query(_RUNS + """, b AS (SELECT run_id, arg_max(state, seq) AS was FROM e WHERE d <= 5 GROUP BY 1), n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS rn FROM e WHERE d > 5)
+    SELECT run_id, seq, state, rn = 1 AND coalesce((was IS NULL AND state = 'pending') OR (was = 'pending' AND state IN ('running', 'failed')) OR (was = 'running' AND state IN ('staged', 'success', 'failed')) OR (was = 'staged' AND state IN ('success', 'failed')), false) AS accepted FROM n LEFT JOIN b USING (run_id)""")
+def ledger_append(spark, sf):
+    return merge.ledger_append(run_events(spark, sf, f"d <= {DAY}"), run_events(spark, sf, f"d > {DAY}"))
+
+
+@query(_RUNS + "SELECT run_id, arg_max(state, seq) AS state, min(seq) AS started, max(seq) AS seq, count(*) AS events FROM e GROUP BY 1 ORDER BY 4 DESC, 1 LIMIT 20")
+def latest_runs(spark, sf):
+    return merge.latest_runs(run_events(spark, sf), 20)
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 9 IN (0, 1)")
@@ -393,6 +413,19 @@ def facility_reconcile(spark, sf):
     return entities.reconcile_facilities(every, every.where(F.col("entity_id") % 2 == 1), m)
 
 
+@query("""WITH k AS (SELECT l_orderkey AS id, array_to_string(list_sort(list(DISTINCT '1:' || t || ':' || s_suppkey)), ',') AS relation_keys FROM lineitem JOIN (
+      SELECT s_suppkey, CASE s_nationkey % 3 WHEN 0 THEN 'street' WHEN 1 THEN 'associatedStreet' ELSE 'dual_carriageway' END AS t, 'street ' || (s_suppkey % 200) AS own FROM supplier) ON s_suppkey = l_suppkey
+      JOIN roads r ON r.id = l_orderkey WHERE t = 'dual_carriageway' OR own = lower(r.name) GROUP BY 1)
+    SELECT r.id, lower(r.name) AS search_name, coalesce(relation_keys, '') AS relation_keys FROM roads r LEFT JOIN k USING (id)""", "roads")
+def street_candidates(spark, sf):
+    k = F.col("s_nationkey") % 3
+    kind = F.when(k == 0, "street").when(k == 1, "associatedStreet").otherwise("dual_carriageway")
+    relations = synth.table(spark, sf, "supplier").select(F.lit(1).alias("source_id"), F.col("s_suppkey").alias("relation_id"), kind.alias("relation_type"), F.concat(F.lit(" STREET  "), (F.col("s_suppkey") % 200).cast("string")).alias("name"))
+    m = synth.table(spark, sf, "lineitem").select(F.lit(1).alias("source_id"), F.col("l_suppkey").alias("relation_id"), F.lit("way").alias("member_type"), F.col("l_orderkey").alias("member_id"))
+    roads = synth.roads(spark, sf).select("id", "name", "geom", F.lit("active").alias("status"), F.lit(1).alias("source_id"), F.lit("way").alias("source_type"), F.col("id").alias("source_object_id"))
+    return entities.street_candidates(roads, m, relations).select("id", "search_name", F.array_join("relation_keys", ",").alias("relation_keys"))
+
+
 def clusters(spark, sf) -> DataFrame:
     r = synth.roads(spark, sf)
     return entities.cluster_lines(r, "id", "name", 30.0)
@@ -467,6 +500,33 @@ def extract_bbox(spark, sf):
     return n.select(F.lit("node").alias("kind"), F.col("osm_id").alias("id")).union(w.select(F.lit("way"), "way_id")).union(r.select(F.lit("relation"), "relation_id"))
 
 
+@query("""WITH r AS (SELECT s_suppkey AS id FROM supplier WHERE s_acctbal < 2000), w AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_suppkey IN (SELECT id FROM r)), n AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderkey IN (SELECT id FROM w))
+    SELECT 'relation' AS kind, id FROM r UNION ALL SELECT 'way', id FROM w UNION ALL SELECT 'node', id FROM n""")
+def extract_relations(spark, sf):
+    ids = synth.table(spark, sf, "supplier").where("s_acctbal < 2000").select(F.col("s_suppkey").alias("relation_id"))
+    m = synth.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("relation_id"), F.lit("way").alias("member_type"), F.col("l_orderkey").alias("member_id"))
+    refs = synth.table(spark, sf, "orders").select(F.col("o_orderkey").alias("way_id"), F.col("o_custkey").alias("node_id"))
+    return osm.extract_relations(ids, m, refs)
+
+
+@query("SELECT o_orderkey AS relation_id, o_totalprice FROM orders WHERE o_orderstatus = 'F' OR o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')")
+def drop_unsupported(spark, sf):
+    o = synth.table(spark, sf, "orders").withColumnRenamed("o_orderkey", "relation_id")
+    p = F.col("o_orderpriority")
+    kind = F.when(p == "1-URGENT", "multipolygon").when(p == "2-HIGH", "boundary").when(p == "3-MEDIUM", "route").when(p == "5-LOW", "site")
+    return osm.drop_unsupported(o.select("relation_id", "o_totalprice"), o.where("o_orderstatus <> 'F'").select("relation_id", kind.alias("relation_type")))
+
+
+@query("SELECT 'nodes' AS staged, count(*) AS n FROM customer UNION ALL SELECT 'ways', count(*) FROM orders UNION ALL SELECT 'relations', count(*) FROM supplier UNION ALL SELECT 'members', count(*) FROM lineitem")
+def staged_counts(spark, sf):
+    return osm.staged_counts({k: synth.table(spark, sf, t) for k, t in {"nodes": "customer", "ways": "orders", "relations": "supplier", "members": "lineitem"}.items()})
+
+
+@query(_MEMBERS + "SELECT 'member_type' AS dimension, member_type AS value, count(*) AS n FROM m GROUP BY 2 UNION ALL SELECT 'role', role, count(*) FROM m GROUP BY 2")
+def inspect_members(spark, sf):
+    return osm.inspect(order_members(spark, sf), ["member_type", "role"])
+
+
 def osm_nodes(spark, sf) -> DataFrame:
     tags = F.when(F.col("id") % 3 == 0, F.create_map(F.lit("amenity"), F.col("category"))).otherwise(F.create_map().cast("map<string,string>"))
     return synth.points(spark, sf).select(F.col("id").alias("osm_id"), F.col("x").alias("lon"), F.col("y").alias("lat"), tags.alias("tags"))

@@ -6,7 +6,8 @@ Inputs are nodes (osm_id, lon, lat, tags), ways (osm_id, refs, tags) and relatio
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,8 @@ SCHEMAS = {
 AREA_KEYS = ("amenity", "building", "building:part", "landuse", "leisure", "natural", "water", "healthcare")
 KINDS = {"n": "node", "w": "way", "r": "relation"}
 CLOSURE_TYPES = ("multipolygon", "boundary", "route", "route_master")
+#: Relation types that have derived geometries.
+DERIVED_TYPES = ("multipolygon", "boundary", "route")
 
 
 def read_osm(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -107,6 +110,18 @@ def reference_closure(start: DataFrame, edges: DataFrame) -> DataFrame:
     return seen
 
 
+def reference_edges(members: DataFrame, way_refs: DataFrame) -> DataFrame:
+    """(kind, id, to_kind, to_id) of relations to their members and ways to their nodes."""
+    edges = members.select(F.lit("relation").alias("kind"), F.col("relation_id").alias("id"), F.col("member_type").alias("to_kind"), F.col("member_id").alias("to_id"))
+    return edges.unionByName(way_refs.select(F.lit("way").alias("kind"), F.col("way_id").alias("id"), F.lit("node").alias("to_kind"), F.col("node_id").alias("to_id")))
+
+
+def extract_relations(relation_ids: DataFrame, members: DataFrame, way_refs: DataFrame) -> DataFrame:
+    """(kind, id) of the named relations (relation_id) and everything that they reference, down to the nodes of ways."""
+    start = relation_ids.select(F.lit("relation").alias("kind"), F.col("relation_id").alias("id"))
+    return reference_closure(start, reference_edges(members, way_refs))
+
+
 def complete_references(selected: DataFrame, members: DataFrame, way_refs: DataFrame, relation_types: DataFrame, existing: DataFrame) -> DataFrame:
     """(kind, id, missing): selected ways and relations of closure types, their route masters, and all they reference."""
     typed = relation_types.where(F.col("relation_type").isin(*CLOSURE_TYPES)).select(F.col("relation_id").alias("id"))
@@ -114,9 +129,7 @@ def complete_references(selected: DataFrame, members: DataFrame, way_refs: DataF
     masters = relation_types.where("relation_type = 'route_master'").select("relation_id")
     parents = members.join(masters, "relation_id", "left_semi").join(base.where("kind = 'relation'").select(F.col("id").alias("member_id")), "member_id", "left_semi").where("member_type = 'relation'")
     base = base.unionByName(parents.select(F.lit("relation").alias("kind"), F.col("relation_id").alias("id")))
-    edges = members.select(F.lit("relation").alias("kind"), F.col("relation_id").alias("id"), F.col("member_type").alias("to_kind"), F.col("member_id").alias("to_id"))
-    edges = edges.unionByName(way_refs.select(F.lit("way").alias("kind"), F.col("way_id").alias("id"), F.lit("node").alias("to_kind"), F.col("node_id").alias("to_id")))
-    found = reference_closure(base, edges)
+    found = reference_closure(base, reference_edges(members, way_refs))
     return found.join(existing.select("kind", "id", F.lit(True).alias("__there")), ["kind", "id"], "left").select("kind", "id", F.col("__there").isNull().alias("missing"))
 
 
@@ -273,5 +286,23 @@ def route_variants(members: DataFrame, relations: DataFrame) -> DataFrame:
     return held.join(routes, "member_id", "left").select("relation_id", "sequence", "member_id", "master_ref", "mode", "ref", "name", F.col("ref").isNotNull().alias("resolved"))
 
 
+def drop_unsupported(derived: DataFrame, relations: DataFrame, supported: Sequence[str] = DERIVED_TYPES) -> DataFrame:
+    """Derived rows without those whose relation came again with a type that isn't supported; relations that didn't come stay."""
+    gone = relations.where(~F.coalesce("relation_type", F.lit("")).isin(*supported)).select("relation_id").distinct()
+    return derived.join(gone, "relation_id", "left_anti")
+
+
+def staged_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(staged, n): rows of each staged table."""
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("staged"), "n") for name, df in tables.items()]
+    return reduce(DataFrame.union, counts)
+
+
+def inspect(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(dimension, value, n): how often each value of each column occurs, in one pass."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in columns))
+    return df.select(F.inline(pairs)).groupBy("dimension", "value").agg(F.count("*").alias("n"))
+
+
 def assembly_summary(status: DataFrame) -> DataFrame:
     return status.groupBy("status").agg(F.count("*").alias("n"))
