@@ -390,22 +390,21 @@ def intersects_box(g: Column, x0, y0, x1, y1) -> Column:
     return F.when(near, alone | sides | corner).otherwise(False)
 
 
+def ring_crosses(ring: np.ndarray) -> bool:
+    """Whether non-neighbouring sides of a closed ring meet."""
+    e = _edges([[ring]])
+    n = len(e)
+    for i in range(n):
+        rest = [j for j in range(i + 2, n) if not (i == 0 and j == n - 1)]
+        if rest and _meet(e[i : i + 1], e[rest]):
+            return True
+    return False
+
+
 @F.pandas_udf(T.BooleanType())
 def self_crosses(g: pd.DataFrame) -> pd.Series:
     """Whether non-neighbouring sides of some ring meet."""
-
-    def crossed(parts) -> bool:
-        for part in _rings(parts):
-            for r in part:
-                e = _edges([[r]])
-                n = len(e)
-                for i in range(n):
-                    rest = [j for j in range(i + 2, n) if not (i == 0 and j == n - 1)]
-                    if rest and _meet(e[i : i + 1], e[rest]):
-                        return True
-        return False
-
-    return pd.Series([crossed(p) for p in g["parts"]])
+    return pd.Series([any(ring_crosses(r) for part in _rings(p) for r in part) for p in g["parts"]])
 
 
 def _representative(gtype: str, parts) -> dict:

@@ -70,20 +70,25 @@ def normalize_features(raw: DataFrame, contract: dict[str, str], key: str, statu
 
 
 def rings_to_polygon(features: DataFrame) -> DataFrame:
-    """(feature_id, geom, problem) of (feature_id, rings array<array<array<double>>>): auto-closed, nested even-odd."""
+    """(feature_id, geom, problem) of (feature_id, rings array<array<array<double>>>): auto-closed, nested even-odd.
+
+    A ring needs four points as it comes, and its sides may meet at their ends only.
+    """
 
     def build(rings) -> tuple[dict | None, str | None]:
         found = []
         for ring in rings:
             r = np.array([tuple(p) for p in ring], float).reshape(-1, 2)
-            if len(r) and tuple(r[0]) != tuple(r[-1]):
-                r = np.concatenate([r, r[:1]])
             if len(r) < 4:
                 return None, "short_ring"
+            if tuple(r[0]) != tuple(r[-1]):
+                r = np.concatenate([r, r[:1]])
             if not np.isfinite(r).all() or (np.abs(r[:, 0]) > 180).any() or (np.abs(r[:, 1]) > 90).any():
                 return None, "out_of_range"
             if abs(np.sum(r[:-1, 0] * r[1:, 1] - r[1:, 0] * r[:-1, 1])) == 0:
                 return None, "zero_area"
+            if G.ring_crosses(r):
+                return None, "self_crossing"
             found.append(r)
         if not found:
             return None, "empty"
