@@ -133,7 +133,7 @@ def test_area_assembly_with_a_hole(spark):
 def test_rings_to_polygon(spark):
     square, hole = [[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [0.0, 4.0]], [[1.0, 1.0], [2.0, 1.0], [2.0, 2.0], [1.0, 1.0]]
     far = [[x + 10, y] for x, y in square]
-    bow, touching = [[0.0, 0.0], [2.0, 2.0], [2.0, 0.0], [0.0, 2.0]], [[0.0, 0.0], [2.0, 1.0], [1.0, 2.0], [0.0, 0.0]]
+    bow, touching = [[0.0, 0.0], [4.0, 4.0], [4.0, 0.0], [0.0, 2.0]], [[0.0, 0.0], [2.0, 1.0], [1.0, 2.0], [0.0, 0.0]]
     df = spark.createDataFrame([(1, [square, hole]), (2, [square, far]), (3, [[[0.0, 0.0], [1.0, 1.0]]]), (4, [[[0.0, 0.0], [200.0, 0.0], [1.0, 1.0], [0.0, 0.0]]]), (5, None), (6, [square, hole[:3]]), (7, [bow]), (8, [square, touching])], "feature_id int, rings array<array<array<double>>>")
     out = {r["feature_id"]: (r["gtype"], r["problem"]) for r in features.rings_to_polygon(df).select("feature_id", "geom.gtype", "problem").collect()}
     assert out == {1: ("POLYGON", None), 2: ("MULTIPOLYGON", None), 3: (None, "short_ring"), 4: (None, "out_of_range"), 5: (None, "empty"), 6: (None, "short_ring"), 7: (None, "self_crossing"), 8: ("POLYGON", None)}
