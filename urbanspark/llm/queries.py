@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanspark.llm import chat_format, decontaminate, language_id, line_dedup, lm_score, near_dedup, pieces, quality, toxicity, url_filter
+from urbanspark.llm import chat_format, conv_trie, decontaminate, language_id, line_dedup, lm_score, merkle, mixing, near_dedup, pieces, quality, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"), merkle.tampered_text())
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conv_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_line_dedup": op2_line_dedup,
@@ -64,10 +76,33 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_chat_format": op9_chat_format,
     "op10_lm_score": op10_lm_score,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_mix_sources": op13_mix_sources,
 }
 
 LOWER_AZ = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: CRC-32 of an integer's decimal text, unsigned, by half bytes; the table follows from the polynomial.
+_HALF_BYTES = []
+for _v in range(16):
+    for _ in range(4):
+        _v = _v >> 1 ^ (0xEDB88320 if _v & 1 else 0)
+    _HALF_BYTES.append(_v)
+CRC32 = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT & 15, ascii(c)::BIGINT >> 4]))), "
+    f"lambda a, x: xor(a >> 4, ({_HALF_BYTES}::BIGINT[])[CAST(xor(a, x) & 15 AS INTEGER) + 1])), 4294967295::BIGINT)"
+)
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({value} AS VARCHAR))) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(v) for v in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
 ORACLE = {
     "op2_line_dedup": r"""
         WITH raw AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
@@ -166,4 +201,52 @@ ORACLE = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(12 + length(role) + 1 + length(text) + escaped + 11) AS BIGINT) AS formatted_chars
         FROM s GROUP BY conv_id""",
+    "op11_merkle_manifest": rf"""
+        WITH RECURSIVE placed AS (
+          SELECT doc_id, lang, leaf, shown, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n
+          FROM (SELECT *, {_leaf("text")} AS leaf, CASE WHEN {CRC32.format("doc_id")} % 3 = 0 THEN {_leaf(LOWER_AZ.format("text"))} ELSE {_leaf("text")} END AS shown FROM documents)),
+        up AS (
+          SELECT lang, 0 AS level, i, n, leaf AS h FROM placed
+          UNION ALL
+          SELECT lang, level + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY lang, level, i // 8, n),
+        subroots AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1),
+        top AS (
+          SELECT 0 AS level, i, n, h FROM subroots
+          UNION ALL
+          SELECT level + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY level, i // 8, n),
+        fold AS (
+          SELECT doc_id, lang, leaf, i AS own, 0 AS level, i, n, shown AS h, '' AS proof FROM placed
+          UNION ALL
+          SELECT f.doc_id, f.lang, f.leaf, f.own, f.level + 1, f.i // 8, (f.n + 7) // 8, sha256(string_agg(CASE WHEN u.i = f.i THEN f.h ELSE u.h END, '' ORDER BY u.i)), f.proof || coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (u.i <> f.i), '')
+          FROM fold f JOIN up u ON u.lang IS NOT DISTINCT FROM f.lang AND u.level = f.level AND u.i // 8 = f.i // 8
+          WHERE f.n > 1 GROUP BY f.doc_id, f.lang, f.leaf, f.own, f.level, f.i, f.n, f.h, f.proof),
+        over AS (
+          SELECT f.doc_id, f.leaf, f.own, s.h AS subroot, 0 AS level, s.i, s.n, f.h, f.proof FROM fold f JOIN subroots s ON s.lang IS NOT DISTINCT FROM f.lang WHERE f.n = 1
+          UNION ALL
+          SELECT f.doc_id, f.leaf, f.own, f.subroot, f.level + 1, f.i // 8, (f.n + 7) // 8, sha256(string_agg(CASE WHEN u.i = f.i THEN f.h ELSE u.h END, '' ORDER BY u.i)), f.proof || coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (u.i <> f.i), '')
+          FROM over f JOIN top u ON u.level = f.level AND u.i // 8 = f.i // 8
+          WHERE f.n > 1 GROUP BY f.doc_id, f.leaf, f.own, f.subroot, f.level, f.i, f.n, f.h, f.proof)
+        SELECT doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, over.h AS folded_root, over.h = r.h AS verified
+        FROM over, (SELECT h FROM top WHERE n = 1) r WHERE over.n = 1""",
+    "op12_conversation_trie": rf"""
+        WITH RECURSIVE own AS (
+          SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k
+          FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations)),
+        convs AS (SELECT conv_id, {CRC32.format("conv_id")} % 4 AS h, conv_id - conv_id % 20 AS donor FROM (SELECT DISTINCT conv_id FROM own)),
+        seq AS (
+          SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS d FROM (
+            SELECT c.conv_id, o.k, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.donor AND o.k <= c.h
+            UNION ALL SELECT c.conv_id, o.k, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.k > c.h)),
+        chain AS (
+          SELECT conv_id, 0::BIGINT AS d, '' AS node, '' AS parent, 0::BIGINT AS tokens FROM convs
+          UNION ALL
+          SELECT c.conv_id, c.d + 1, sha256(c.node || ':' || length(s.role) || ':' || s.role || s.text), c.node, len(regexp_extract_all(s.text, '[^\x20\x09-\x0D]+'))
+          FROM chain c JOIN seq s ON s.conv_id = c.conv_id AND s.d = c.d + 1),
+        nodes AS (SELECT node, d, parent, any_value(tokens) AS tokens, min(conv_id) AS conv_id, count(*) AS n FROM chain GROUP BY node, d, parent),
+        kids AS (SELECT parent, count(*) AS n FROM nodes WHERE d > 0 GROUP BY parent),
+        under AS (SELECT DISTINCT a.node AS top, b.node FROM chain a JOIN chain b ON b.conv_id = a.conv_id AND b.d >= a.d),
+        sums AS (SELECT top, count(*) FILTER (k.n IS NULL) AS leaves, sum((n.n - 1) * n.tokens) AS saved FROM under u JOIN nodes n ON n.node = u.node LEFT JOIN kids k ON k.parent = n.node GROUP BY top),
+        ends AS (SELECT node, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, arg_max(node, d) AS node FROM chain GROUP BY conv_id) GROUP BY node)
+        SELECT n.conv_id, n.d AS depth, CASE WHEN n.d > 0 THEN p.conv_id END AS parent_conv_id, n.n AS n_convs, CAST(coalesce(k.n, 0) AS BIGINT) AS n_children, CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+        FROM nodes n LEFT JOIN nodes p ON p.node = n.parent LEFT JOIN kids k ON k.parent = n.node JOIN sums s ON s.top = n.node LEFT JOIN ends e ON e.node = n.node""",
 }
