@@ -4,20 +4,22 @@ A geometry is a struct (gtype, parts, xmin, ymin, xmax, ymax): parts of rings of
 A point is one part of one ring of one point; a line one part of one ring; a polygon one
 part of an outer ring and its holes, each closed. Coordinates are planar metres (UTM) or
 degrees by column-name convention. Every function here is a Column expression except the
-few that need a sweep over two whole geometries, which are vectorised pandas functions.
+few that need a sweep over whole geometries, which are Arrow functions.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from urbanspark.functions.validity import st_is_valid  # noqa: F401
+
 PARTS = "array<array<array<struct<x:double,y:double>>>>"
 GEOMETRY = f"struct<gtype:string,parts:{PARTS},xmin:double,ymin:double,xmax:double,ymax:double>"
 
@@ -103,15 +105,6 @@ def st_area(g: Column) -> Column:
     return F.when(is_areal(g), F.aggregate(g["parts"], F.lit(0.0), lambda t, p: t + part(p))).otherwise(0.0)
 
 
-def st_is_valid(g: Column) -> Column:
-    """Enough points, closed rings and non-zero area; crossings of a ring are found by ``self_crosses``."""
-    ring_ok = lambda r: (F.size(r) >= 4) & (r[0] == F.element_at(r, -1)) & (ring_area(r) > 0)
-    rings = F.flatten(g["parts"])
-    areal = F.forall(rings, ring_ok)
-    linear = F.forall(rings, lambda r: F.size(F.array_distinct(r)) >= 2)
-    return F.when(is_areal(g), areal).when(g["gtype"].isin("LINESTRING", "MULTILINESTRING"), linear).otherwise(~is_empty(g))
-
-
 # Distances
 
 
@@ -124,6 +117,14 @@ def _segment_distance2(s: Column, x: Column, y: Column) -> Column:
     return ex * ex + ey * ey
 
 
+def segment_distance(s: Column, t: Column) -> Column:
+    """Distance of two segments struct(a, b): 0 where they cross or touch, else the least from an end to the other."""
+    side = lambda o, p: (o["b"]["x"] - o["a"]["x"]) * (p["y"] - o["a"]["y"]) - (o["b"]["y"] - o["a"]["y"]) * (p["x"] - o["a"]["x"])
+    apart = lambda o, p: ((side(o, p["a"]) > 0) & (side(o, p["b"]) < 0)) | ((side(o, p["a"]) < 0) & (side(o, p["b"]) > 0))
+    ends = [_segment_distance2(o, p[e]["x"], p[e]["y"]) for o, p in ((s, t), (t, s)) for e in "ab"]
+    return F.when(apart(s, t) & apart(t, s), 0.0).otherwise(F.sqrt(F.least(*ends)))
+
+
 def _inside(part: Column, x: Column, y: Column) -> Column:
     """Even-odd rule over all rings of a part."""
     crosses = lambda s: ((s["a"]["y"] > y) != (s["b"]["y"] > y)) & (x < (s["b"]["x"] - s["a"]["x"]) * (y - s["a"]["y"]) / (s["b"]["y"] - s["a"]["y"]) + s["a"]["x"])
@@ -174,18 +175,10 @@ def geo_distance_m(lon1, lat1, lon2, lat2) -> Column:
 # Boxes
 
 
-def make_envelope(x0, y0, x1, y1) -> Column:
-    return rectangle(x0, y0, x1, y1)
-
-
 def bbox_overlaps(a: Column, b: Column) -> Column:
     return (a["xmin"] <= b["xmax"]) & (b["xmin"] <= a["xmax"]) & (a["ymin"] <= b["ymax"]) & (b["ymin"] <= a["ymax"])
 
 
-def st_bbox(g: Column) -> Column:
-    return F.array(g["xmin"], g["ymin"], g["xmax"], g["ymax"])
-
-
 def extent(g: Column) -> list[Column]:
     """Aggregates: the bounds of a group."""
     return [F.min(g["xmin"]).alias("xmin"), F.min(g["ymin"]).alias("ymin"), F.max(g["xmax"]).alias("xmax"), F.max(g["ymax"]).alias("ymax")]
@@ -317,8 +310,14 @@ def bounded_bonus(primary, total, cap, saturation) -> Column:
 # Whole-geometry sweeps, vectorised per batch
 
 
-def _rings(parts) -> list[list[np.ndarray]]:
-    return [[np.array([(p["x"], p["y"]) for p in ring]).reshape(-1, 2) for ring in part] for part in parts]
+def arrow_rings(parts: pa.ListArray) -> Iterator[list[list[np.ndarray]]]:
+    """Parts of rings of points of each geometry of an Arrow column; a null one has none."""
+    levels = [parts, parts.flatten(), parts.flatten().flatten()]
+    part_at, ring_at, point_at = (np.r_[0, np.cumsum(np.nan_to_num(a.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))] for a in levels)
+    points = levels[2].flatten()
+    xy = np.column_stack([points.field(k).to_numpy(zero_copy_only=False) for k in (0, 1)])
+    for g in range(len(parts)):
+        yield [[xy[point_at[r] : point_at[r + 1]] for r in range(ring_at[p], ring_at[p + 1])] for p in range(part_at[g], part_at[g + 1])]
 
 
 def _edges(parts: list[list[np.ndarray]]) -> np.ndarray:
@@ -348,19 +347,29 @@ def _meet(p: np.ndarray, q: np.ndarray, tolerance: float = 1e-12) -> bool:
     return bool((overlap & (t1 * t2 <= tolerance) & (t3 * t4 <= tolerance)).any())
 
 
-def _intersect(a: dict, b: dict) -> bool:
-    p, q = _rings(a["parts"]), _rings(b["parts"])
-    if _meet(_edges(p), _edges(q)):
+def _near(edges: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The edges whose bounds meet the bounds of the others."""
+    if not len(edges) or not len(other):
+        return edges[:0]
+    low, high = np.minimum(edges[:, :2], edges[:, 2:]), np.maximum(edges[:, :2], edges[:, 2:])
+    return edges[(low <= other.reshape(-1, 2).max(axis=0)).all(axis=1) & (high >= other.reshape(-1, 2).min(axis=0)).all(axis=1)]
+
+
+def _intersect(p: list[list[np.ndarray]], p_kind: str, q: list[list[np.ndarray]], q_kind: str) -> bool:
+    pe, qe = _edges(p), _edges(q)
+    if _meet(_near(pe, qe), _near(qe, pe)):
         return True
-    for own, kind, other in ((p, a["gtype"], q), (q, b["gtype"], p)):
+    for own, kind, other in ((p, p_kind, q), (q, q_kind, p)):
         if "POLYGON" in kind and any(_holds(part, *other_part[0][0]) for part in own for other_part in other):
             return True
     return False
 
 
-@F.pandas_udf(T.BooleanType())
-def _intersects(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
-    return pd.Series([_intersect(x, y) for x, y in zip(a.to_dict("records"), b.to_dict("records"), strict=True)])
+@F.arrow_udf(T.BooleanType())
+def _intersects(a: pa.Array, b: pa.Array) -> pa.Array:
+    kinds = zip(a.field("gtype").to_pylist(), b.field("gtype").to_pylist(), strict=True)
+    rings = zip(arrow_rings(a.field("parts")), arrow_rings(b.field("parts")), strict=True)
+    return pa.array([bool(k and m and _intersect(p, k, q, m)) for (k, m), (p, q) in zip(kinds, rings, strict=True)], pa.bool_())
 
 
 def st_intersects(a: Column, b: Column) -> Column:
@@ -390,25 +399,7 @@ def intersects_box(g: Column, x0, y0, x1, y1) -> Column:
     return F.when(near, alone | sides | corner).otherwise(False)
 
 
-def ring_crosses(ring: np.ndarray) -> bool:
-    """Whether non-neighbouring sides of a closed ring meet."""
-    e = _edges([[ring]])
-    n = len(e)
-    for i in range(n):
-        rest = [j for j in range(i + 2, n) if not (i == 0 and j == n - 1)]
-        if rest and _meet(e[i : i + 1], e[rest]):
-            return True
-    return False
-
-
-@F.pandas_udf(T.BooleanType())
-def self_crosses(g: pd.DataFrame) -> pd.Series:
-    """Whether non-neighbouring sides of some ring meet."""
-    return pd.Series([any(ring_crosses(r) for part in _rings(p) for r in part) for p in g["parts"]])
-
-
-def _representative(gtype: str, parts) -> dict:
-    rings = _rings(parts)
+def _representative(gtype: str, rings: list[list[np.ndarray]]) -> dict:
     if gtype == "LINESTRING" or gtype == "MULTILINESTRING":
         r = rings[0][0]
         step = np.hypot(*np.diff(r, axis=0).T)
@@ -437,14 +428,8 @@ def _representative(gtype: str, parts) -> dict:
     return {"x": rings[0][0][0, 0], "y": rings[0][0][0, 1]}
 
 
-@F.pandas_udf(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
-def representative_point(g: pd.DataFrame) -> pd.DataFrame:
+@F.arrow_udf(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
+def representative_point(g: pa.Array) -> pa.Array:
     """The point itself, the middle of a line, or a point inside a polygon's widest scan line."""
-    return pd.DataFrame([_representative(t, p) for t, p in zip(g["gtype"], g["parts"], strict=True)], columns=["x", "y"])
-
-
-def any_of(columns: Iterable[Column]) -> Column:
-    out = F.lit(False)
-    for c in columns:
-        out = out | c
-    return out
+    found = [_representative(t, p) if t and p else None for t, p in zip(g.field("gtype").to_pylist(), arrow_rings(g.field("parts")), strict=True)]
+    return pa.array(found, pa.struct([("x", pa.float64()), ("y", pa.float64())]))

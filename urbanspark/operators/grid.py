@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urbanspark.functions import geometry as G
-from urbanspark.functions.session import broadcast_if_small
-from urbanspark.operators import spatial
+from urbanspark.operators import cover, spatial
 
 
 def grid_version(size: int) -> str:
@@ -30,9 +29,11 @@ def square_grid(districts: DataFrame, size: int) -> DataFrame:
     """
     g = F.col("geom")
     low = lambda k: F.floor(g[k] / size)
-    spans = districts.select(F.explode(F.sequence(low("xmin"), low("xmax"))).alias("i"), low("ymin").alias("j0"), low("ymax").alias("j1"), "district_id", "display_order", "geom")
-    cells = spans.withColumn("j", F.explode(F.sequence("j0", "j1"))).withColumn("x", (F.col("i") + 0.5) * size).withColumn("y", (F.col("j") + 0.5) * size)
-    owned = cells.where(G.st_covers(g, "x", "y")).groupBy("i", "j").agg(F.min_by("district_id", F.struct("display_order", "district_id")).alias("district_id"))
+    columns = districts.select(F.explode(F.sequence(low("xmin"), low("xmax"))).alias("i"), low("ymin").alias("j0"), low("ymax").alias("j1")).groupBy("i").agg(F.collect_set(F.struct("j0", "j1")).alias("spans"))
+    # one column of cells is a row here: dealing the columns deals the grid
+    spans = columns.repartition("i").select("i", F.explode("spans").alias("s")).select("i", F.explode(F.sequence("s.j0", "s.j1")).alias("j")).distinct()
+    centres = spans.select("i", "j", F.struct("i", "j").alias("at"), ((F.col("i") + 0.5) * size).alias("x"), ((F.col("j") + 0.5) * size).alias("y"))
+    owned = spatial.assign_polygon(centres, districts, "at").select("at.i", "at.j", "district_id")
     version = grid_version(size)
     return owned.select(
         cell_id(version, F.col("i"), F.col("j")).alias("cell_id"),
@@ -83,5 +84,4 @@ def assign_districts(points: DataFrame, districts: DataFrame, point_id: str) ->
 
 def covered_by_any(points: DataFrame, districts: DataFrame) -> DataFrame:
     """Points inside the union of the districts."""
-    right = broadcast_if_small(districts.select(F.col("geom").alias("__d")), spatial.BROADCAST_POLYGONS)
-    return points.join(right, G.st_covers(F.col("__d"), "x", "y"), "left_semi")
+    return cover.semi(points, cover.covering(districts.select("geom"), []))

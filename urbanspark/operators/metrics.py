@@ -66,8 +66,10 @@ def _near(cells: DataFrame, targets: DataFrame, radius: float, config: dict) ->
 
 @provider("nearest_distance")
 def nearest_distance(cells: DataFrame, targets: DataFrame, config: dict | None = None) -> DataFrame:
+    """Metres to the nearest target; a cell that has none, as there are no targets, has no distance: null and no matches."""
     found = spatial.nearest(cells, targets, "cell_id", boxes=(config or {}).get("boxes", False))
-    return found.select("cell_id", F.col("distance").alias("raw_value"), F.lit(1).cast("long").alias("matches"))
+    full = cells.select("cell_id").join(found, "cell_id", "left")
+    return full.select("cell_id", F.col("distance").alias("raw_value"), F.col("distance").isNotNull().cast("long").alias("matches"))
 
 
 @provider("count_within_radius")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urbanspark.functions import geometry as G
-from urbanspark.operators import spatial
+from urbanspark.operators import pyramid
 
 TILE, BUFFER = 4096, 64
 
@@ -56,7 +56,7 @@ def weights_frame(spark, weights: dict[str, float]) -> DataFrame:
 
 
 def composite(scores: DataFrame, weights: DataFrame) -> DataFrame:
-    """(cell_id, composite): weighted mean of the scores that a cell has a weight for."""
+    """(cell_id, composite): the weighted sum of a cell's scores over the sum of all weights."""
     joined = scores.join(F.broadcast(weights), "metric_key")
     total = weights.agg(F.sum("weight").alias("total"))
     summed = joined.groupBy("cell_id").agg(F.sum(F.col("score") * F.col("weight")).alias("weighted"))
@@ -100,28 +100,15 @@ def contributions(scores: DataFrame, weights: DataFrame) -> DataFrame:
     return scores.join(F.broadcast(weights), "metric_key").crossJoin(F.broadcast(total)).select("cell_id", "metric_key", (F.col("score") * F.col("weight") / F.col("total")).alias("contribution"))
 
 
-def explain_targets(cells: DataFrame, targets: DataFrame, half: float, quality: Column, *, boxes: bool = False, extent: float = 200_000.0) -> DataFrame:
+def explain_targets(cells: DataFrame, targets: DataFrame, half: float, quality: Column, *, boxes: bool = False) -> DataFrame:
     """(cell_id, target_id, log_score): the strongest target of each cell, at any distance.
 
     log_score is ln(quality) less ln 2 (d / half)^2, its exponent floored at -700 and the
-    quality at 1e-300; ties go to the least target id. Candidates come from growing radii: as
-    quality is 1 at most, a hit better than any target beyond the radius could be is final.
+    quality at 1e-300; ties go to the least target id. Without targets there are no rows.
     """
-    from urbanspark.functions.session import checkpointed
-
-    left, radius, found = cells.select("cell_id", "x", "y"), half * 2, None
-    while True:
-        last = radius >= extent
-        met = spatial.distance_join(left, targets, radius, boxes=boxes)
-        score = F.log(F.greatest(quality, F.lit(1e-300))) + F.greatest(-math.log(2) * F.pow(F.col("distance") / half, 2.0), F.lit(-700.0))
-        best = met.withColumn("log_score", score).groupBy("cell_id").agg(F.min_by(F.struct("target_id", "log_score"), F.struct(-F.col("log_score"), "target_id")).alias("b"))
-        best = best.select("cell_id", "b.target_id", "b.log_score")
-        final = checkpointed(best if last else best.where(F.col("log_score") > -math.log(2) * (radius / half) ** 2))
-        found = final if found is None else found.unionByName(final)
-        left = checkpointed(left.join(final, "cell_id", "left_anti"))
-        if last or left.isEmpty():
-            return found
-        radius *= 2
+    score = lambda d, q: F.log(q) + F.greatest(-math.log(2) * F.pow(d / half, 2.0), F.lit(-700.0))
+    best = pyramid.strongest(cells, targets, "cell_id", score, weight=F.greatest(quality, F.lit(1e-300)), boxes=boxes)
+    return best.select("cell_id", "target_id", F.col("value").alias("log_score"))
 
 
 def is_current(runs: DataFrame, pointers: DataFrame) -> DataFrame:

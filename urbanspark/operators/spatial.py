@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from urbanspark.functions import geometry as G
 from urbanspark.functions.session import broadcast_if_small, checkpointed
+from urbanspark.operators import cover, pyramid
 
-#: Polygons up to this many are broadcast (some kilobytes each); more are joined by bins.
+#: Polygons up to this many are sent whole to the exact tests of pairs found by cells; more are joined by shuffle.
 BROADCAST_POLYGONS = 5_000
 MIN_BIN = 50.0
 
@@ -52,32 +53,21 @@ def distance_join(points: DataFrame, targets: DataFrame, radius: float, *, x: st
     return near.where(F.col("distance") <= radius).drop("__bx", "__by")
 
 
-def nearest(points: DataFrame, targets: DataFrame, point_id: str, *, x: str = "x", y: str = "y", geom: str = "geom", first_radius: float = 250.0, boxes: bool = False) -> DataFrame:
-    """(point_id, distance) to the nearest target of every point.
+def nearest(points: DataFrame, targets: DataFrame, point_id: str, *, x: str = "x", y: str = "y", geom: str = "geom", boxes: bool = False) -> DataFrame:
+    """(point_id, distance) to the nearest target of every point, however far it is.
 
-    A hit within the radius is proof; points without one go on with a larger radius, however
-    far the targets are. Without targets, and for points without coordinates, there is no row.
+    Without targets, and for points without finite coordinates, there is no row. Points of
+    one id, null too, are one point with several places.
     """
-    points = points.where(F.col(x).isNotNull() & F.col(y).isNotNull() & (F.abs(x) < 1e12) & (F.abs(y) < 1e12))
-    targets = targets.where(F.abs(F.col(geom)["xmin"]) < 1e12)
-    left, radius, found = points, first_radius, None
-    there = not targets.isEmpty()
-    while True:
-        hits = distance_join(left.select(point_id, x, y), targets, radius, x=x, y=y, geom=geom, boxes=boxes).groupBy(point_id).agg(F.min("distance").alias("distance"))
-        hits = checkpointed(hits)
-        found = hits if found is None else found.unionByName(hits)
-        left = checkpointed(left.join(hits, point_id, "left_anti"))
-        if not there or left.isEmpty():
-            return found
-        radius *= 4 if radius > 2000 else 2
+    numbered = targets.select(F.col(geom).alias("geom"), F.lit(0).alias("target_id"))
+    found = pyramid.strongest(points, numbered, point_id, lambda d, w: -d * w, x=x, y=y, boxes=boxes)
+    return found.select(point_id, "distance")
 
 
 def assign_polygon(points: DataFrame, polygons: DataFrame, point_id: str, *, x: str = "x", y: str = "y", geom: str = "geom", polygon_id: str = "district_id", order: str = "display_order") -> DataFrame:
     """(point_id, polygon_id) of the covering polygon of lowest order, then id."""
-    right = broadcast_if_small(polygons.select(polygon_id, order, geom), BROADCAST_POLYGONS)
-    g = F.col(geom)
-    near = (F.col(x) >= g["xmin"]) & (F.col(x) <= g["xmax"]) & (F.col(y) >= g["ymin"]) & (F.col(y) <= g["ymax"])
-    met = points.select(point_id, x, y).join(right, near).where(G.st_covers(g, x, y))
+    cells = cover.covering(polygons, [polygon_id, order], geom)
+    met = cover.points_in(points.select(point_id, x, y), cells, x, y)
     return met.groupBy(point_id).agg(F.min_by(polygon_id, F.struct(order, polygon_id)).alias(polygon_id))
 
 
@@ -89,47 +79,96 @@ def in_viewport(df: DataFrame, box: tuple[float, float, float, float], geom: str
     return near.where(G.intersects_box(g, x0, y0, x1, y1))
 
 
+def polygon_pairs(df: DataFrame, polygons: DataFrame, key: str, polygon_key: str, *, geom: str = "geom", polygon_geom: str = "geom", boxes: bool = False) -> DataFrame:
+    """(key, polygon_key) of shapes that meet polygons: by shared cells, then by the exact shapes.
+
+    ``boxes`` says that the polygons are axis-parallel rectangles. Keys must be unique.
+    """
+    cells = cover.covering(polygons, [polygon_key], polygon_geom)
+    shapes, areas = df.select(key, F.col(geom).alias("__g")), polygons.select(polygon_key, F.col(polygon_geom).alias("__d"))
+    met = cover.candidates(shapes, cells, key, polygon_key, "__g").join(shapes, key).join(broadcast_if_small(areas, BROADCAST_POLYGONS), polygon_key)
+    g, d = F.col("__g"), F.col("__d")
+    exact = G.intersects_box(g, d["xmin"], d["ymin"], d["xmax"], d["ymax"]) if boxes else G.st_intersects(g, d)
+    return met.where(G.bbox_overlaps(g, d)).where(exact).select(key, polygon_key)
+
+
 def within_districts(df: DataFrame, districts: DataFrame, geom: str = "geom", district_geom: str = "district_geom", boxes: bool = False) -> DataFrame:
     """Rows whose geometry meets any of the districts: their union needs no dissolving."""
-    right = broadcast_if_small(districts.select(F.col(district_geom).alias("__d")), BROADCAST_POLYGONS)
-    meets = G.intersects_box(F.col(geom), F.col("__d.xmin"), F.col("__d.ymin"), F.col("__d.xmax"), F.col("__d.ymax")) if boxes else G.st_intersects(F.col(geom), F.col("__d"))
-    if boxes:
-        return df.join(right, G.bbox_overlaps(F.col(geom), F.col("__d")) & meets, "left_semi")
-    columns = df.columns
-    hit = df.withColumn("__row", F.monotonically_increasing_id()).join(right, G.bbox_overlaps(F.col(geom), F.col("__d"))).where(meets)
-    return hit.dropDuplicates(["__row"]).select(*columns)
+    rows = checkpointed(df.withColumn("__row", F.monotonically_increasing_id()))
+    areas = checkpointed(districts.select(F.col(district_geom).alias("__area")).withColumn("__district", F.monotonically_increasing_id()))
+    hit = polygon_pairs(rows, areas, "__row", "__district", geom=geom, polygon_geom="__area", boxes=boxes)
+    return rows.join(hit, "__row", "left_semi").select(*df.columns)
 
 
 def district_counts(df: DataFrame, districts: DataFrame, by: list[str], *, geom: str = "geom", district_id: str = "district_id") -> DataFrame:
     """Objects per district and ``by``; an object counts in every district that it touches."""
-    right = broadcast_if_small(districts.select(district_id, F.col("geom").alias("__d")), BROADCAST_POLYGONS)
-    d = F.col("__d")
-    met = df.join(right, G.bbox_overlaps(F.col(geom), d)).where(G.st_intersects(F.col(geom), d))
-    return met.groupBy(district_id, *by).agg(F.count("*").alias("n"))
+    rows = checkpointed(df.select(*by, F.col(geom).alias("__shape")).withColumn("__row", F.monotonically_increasing_id()))
+    met = polygon_pairs(rows, districts, "__row", district_id, geom="__shape")
+    return met.join(rows.drop("__shape"), "__row").groupBy(district_id, *by).agg(F.count("*").alias("n"))
+
+
+#: Cells of line clusters are this little smaller than the gap allows, so that rounding links nothing apart.
+SHRINK = 0.999
+
+
+def line_segments(lines: DataFrame, line_id: str, key: str, geom: str = "geom") -> DataFrame:
+    """(line_id, key, s: struct(a, b)) of each side of each line; a single point is a side without length."""
+    ring = F.explode(F.flatten(F.col(geom)["parts"])).alias("__r")
+    sides = F.when(F.size("__r") == 1, F.array(F.struct(F.col("__r")[0].alias("a"), F.col("__r")[0].alias("b")))).otherwise(G.segments(F.col("__r")))
+    return lines.select(line_id, key, ring).select(line_id, key, F.explode(sides).alias("s"))
+
+
+def _segment_cells(s: Column, side: float) -> Column:
+    """The cells that a segment passes, clipped column by column."""
+    ax, ay, bx, by = s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]
+    left, right = F.least(ax, bx), F.greatest(ax, bx)
+
+    def column(i: Column) -> Column:
+        at = lambda x: F.when(ax == bx, F.lit(None)).otherwise(ay + (F.least(F.greatest(x, left), right) - ax) / F.nullif(bx - ax, F.lit(0.0)) * (by - ay))
+        u, v = F.coalesce(at(i * side), ay), F.coalesce(at((i + 1) * side), by)
+        return F.transform(F.sequence(_bin(F.least(u, v), side), _bin(F.greatest(u, v), side)), lambda j: F.struct(i.alias("i"), j.alias("j")))
+
+    return F.flatten(F.transform(F.sequence(_bin(left, side), _bin(right, side)), column))
 
 
 def proximity_edges(lines: DataFrame, line_id: str, key: str, gap: float, geom: str = "geom") -> DataFrame:
-    """(a, b, key) of lines of one key at most ``gap`` apart, a < b.
+    """(a, b, key): links that hold lines of one key at most ``gap`` apart together, a < b.
 
-    Both sides are binned; a pair is kept in the least bin that both share, so it is made once.
+    Cells have a diagonal of the gap, so lines in one cell are linked through its least line.
+    What that connects isn't compared again: only segments of different components in cells
+    at most two apart are, by their exact distance. A line has as many cells as its length
+    asks for, so the work grows with the lines, not with their pairs.
     """
-    size = max(gap * 4, MIN_BIN)
-    grown = lines.select(line_id, key, geom)
-    left = binned_targets(grown, geom, gap, size).select(key, "__bx", "__by", F.col(line_id).alias("a"), F.col(geom).alias("__ga"))
-    right = binned_targets(grown, geom, 0.0, size).select(key, "__bx", "__by", F.col(line_id).alias("b"), F.col(geom).alias("__gb"))
-    ga, gb = F.col("__ga"), F.col("__gb")
-    own_x = F.greatest(_bin(ga["xmin"] - gap, size), _bin(gb["xmin"], size))
-    own_y = F.greatest(_bin(ga["ymin"] - gap, size), _bin(gb["ymin"], size))
-    met = left.join(right, [key, "__bx", "__by"]).where((F.col("a") != F.col("b")) & (F.col("__bx") == own_x) & (F.col("__by") == own_y))
-    close = met.where(line_distance(ga, gb) <= gap)
-    return close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), key).distinct()
+    side = gap / 2**0.5 * SHRINK if gap > 0 else MIN_BIN
+    cells = line_segments(lines, line_id, key, geom).withColumn("__c", F.explode(_segment_cells(F.col("s"), side)))
+    cells = checkpointed(cells.select(line_id, key, "s", F.col("__c.i").alias("i"), F.col("__c.j").alias("j")))
+    links = None
+    if gap > 0:
+        lead = cells.groupBy(key, "i", "j").agg(F.min(line_id).alias("a"))
+        held = cells.select(line_id, key, "i", "j").distinct().join(lead, [key, "i", "j"])
+        links = checkpointed(held.where(F.col(line_id) != F.col("a")).select("a", F.col(line_id).alias("b"), key).distinct())
+        comps = components(links.select("a", "b")).withColumnRenamed("node", line_id)
+        cells = cells.join(comps, line_id, "left").withColumn("component", F.coalesce("component", line_id))
+        reach = 2
+    else:
+        cells, reach = cells.withColumn("component", F.col(line_id)), 0
+    # Cells whose surroundings hold one component only have nothing to compare.
+    around = F.array(*(F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)))
+    spread = cells.groupBy(key, "i", "j").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).withColumn("__d", F.explode(around))
+    mixed = spread.select(key, (F.col("i") + F.col("__d.di")).alias("i"), (F.col("j") + F.col("__d.dj")).alias("j"), "lo", "hi").groupBy(key, "i", "j").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi")
+    open_ = checkpointed(cells.join(mixed.select(key, "i", "j"), [key, "i", "j"], "left_semi").select(key, "i", "j", line_id, "component", "s"))
+    left = open_.select(key, "i", "j", F.col(line_id).alias("a"), F.col("component").alias("ca"), F.col("s").alias("sa")).withColumn("__d", F.explode(around))
+    left = left.select(key, (F.col("i") + F.col("__d.di")).alias("i"), (F.col("j") + F.col("__d.dj")).alias("j"), "a", "ca", "sa")
+    right = open_.select(key, "i", "j", F.col(line_id).alias("b"), F.col("component").alias("cb"), F.col("s").alias("sb"))
+    met = left.join(right, [key, "i", "j"]).where(F.col("ca") < F.col("cb")).select(key, "a", "b", "sa", "sb").distinct()
+    close = met.where(G.segment_distance(F.col("sa"), F.col("sb")) <= gap).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), key).distinct()
+    return close if links is None else links.unionByName(close).distinct()
 
 
 def line_distance(a: Column, b: Column) -> Column:
-    """Distance of two lines that don't cross: the least from any vertex of one to the other."""
-    points = lambda g: F.flatten(F.flatten(g["parts"]))
-    to = lambda g, other: F.array_min(F.transform(points(g), lambda p: G.st_distance(other, p["x"], p["y"])))
-    return F.least(to(a, b), to(b, a))
+    """Distance of two lines: 0 where they cross, else the least from any vertex of one to the other."""
+    sides = lambda g: F.flatten(F.transform(F.flatten(g["parts"]), lambda r: F.when(F.size(r) == 1, F.array(F.struct(r[0].alias("a"), r[0].alias("b")))).otherwise(G.segments(r))))
+    return F.array_min(F.transform(sides(a), lambda s: F.array_min(F.transform(sides(b), lambda t: G.segment_distance(s, t)))))
 
 
 def components(edges: DataFrame) -> DataFrame:

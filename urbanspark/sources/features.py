@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urbanspark.functions import geometry as G
+from urbanspark.functions import validity
 from urbanspark.functions.text import row_sha256
 from urbanspark.operators import merge
 from urbanspark.sources import osm
@@ -87,7 +88,7 @@ def rings_to_polygon(features: DataFrame) -> DataFrame:
                 return None, "out_of_range"
             if abs(np.sum(r[:-1, 0] * r[1:, 1] - r[1:, 0] * r[:-1, 1])) == 0:
                 return None, "zero_area"
-            if G.ring_crosses(r):
+            if validity.ring_crosses(r):
                 return None, "self_crossing"
             found.append(r)
         if not found:

@@ -164,7 +164,7 @@ def nest(rings: list[np.ndarray]) -> list[list[np.ndarray]]:
     A ring is inside a larger one that holds a point of its inside, so rings may share points.
     """
     area = [abs(np.sum(r[:-1, 0] * r[1:, 1] - r[1:, 0] * r[:-1, 1])) for r in rings]
-    inner = [G._representative("POLYGON" if a else "POINT", [[[{"x": x, "y": y} for x, y in r]]]) for r, a in zip(rings, area, strict=True)]
+    inner = [G._representative("POLYGON" if a else "POINT", [[r]]) for r, a in zip(rings, area, strict=True)]
     around = [[j for j, o in enumerate(rings) if area[j] > area[i] and G._holds([o], p["x"], p["y"])] for i, p in enumerate(inner)]
     outers = [i for i in range(len(rings)) if len(around[i]) % 2 == 0]
     parts = {i: [rings[i]] for i in outers}
