@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from urbanspark.functions import geometry as G
 from urbanspark.operators import audits, catalog, entities, merge, metrics, scoring, search, spatial
 from urbanspark.plans import synth
-from urbanspark.sources import features, osm
+from urbanspark.sources import assembly, features, osm
 
 SF = "/root/testdata/sf0.001"
 
@@ -124,9 +124,9 @@ def test_area_assembly_with_a_hole(spark):
 
     rows = [way(1, 0, (0, 0), (4, 0), (4, 4)), way(1, 1, (0, 0), (0, 4), (4, 4)), way(1, 2, (1, 1), (3, 1), (3, 3), (1, 3), (1, 1)), way(2, 0, (0, 0), (1, 1))]
     ways = spark.createDataFrame(rows, "relation_id long, sequence int, pts array<struct<x:double,y:double>>").select("relation_id", "sequence", G.line(F.col("pts")).alias("geom"))
-    out = {r[0]: r[1] for r in osm.assemble_areas(ways).select("relation_id", G.st_area(F.col("geom")).alias("a")).collect()}
+    out = {r[0]: r[1] for r in assembly.assemble_areas(ways).select("relation_id", G.st_area(F.col("geom")).alias("a")).collect()}
     assert out[1] == 12.0
-    routes = {r[0]: r[1] for r in osm.assemble_routes(ways).select("relation_id", F.size("geom.parts")).collect()}
+    routes = {r[0]: r[1] for r in assembly.assemble_routes(ways).select("relation_id", F.size("geom.parts")).collect()}
     assert routes == {1: 2, 2: 1}
 
 
