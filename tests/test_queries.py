@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from urbanspark.plans import spatial_queries, table_queries  # noqa: F401
+from urbanspark.plans import map_queries, spatial_queries, table_queries  # noqa: F401
 from urbanspark.plans.registry import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
