@@ -162,14 +162,17 @@ def st_covers(g: Column, x, y) -> Column:
     return F.when(near & is_areal(g), F.exists(g["parts"], lambda p: _inside(p, x, y)) | on).otherwise(False)
 
 
+def metres_per_degree(lat: Column) -> tuple[Column, Column]:
+    """(east, north) on WGS84 at a latitude, by the radii of curvature."""
+    w = 1 - E2 * F.pow(F.sin(F.radians(lat)), 2.0)
+    return F.radians(F.lit(1.0)) * F.cos(F.radians(lat)) * A / F.sqrt(w), F.radians(F.lit(1.0)) * (A * (1 - E2)) / F.pow(w, 1.5)
+
+
 def geo_distance_m(lon1, lat1, lon2, lat2) -> Column:
     """Metres on WGS84 by the local radii of curvature; under a millimetre off within 100 m."""
     lon1, lat1, lon2, lat2 = (_c(v) for v in (lon1, lat1, lon2, lat2))
-    phi = F.radians((lat1 + lat2) / 2)
-    w = 1 - E2 * F.pow(F.sin(phi), 2.0)
-    north = F.radians(lat2 - lat1) * (A * (1 - E2)) / F.pow(w, 1.5)
-    east = F.radians(lon2 - lon1) * F.cos(phi) * A / F.sqrt(w)
-    return F.sqrt(north * north + east * east)
+    east, north = metres_per_degree((lat1 + lat2) / 2)
+    return F.sqrt(F.pow((lat2 - lat1) * north, 2.0) + F.pow((lon2 - lon1) * east, 2.0))
 
 
 # Boxes

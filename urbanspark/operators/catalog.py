@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanspark.functions import geometry as G
+from urbanspark.functions.session import broadcast_if_small
 from urbanspark.functions.text import any_distinct, row_sha256, uuid5
 from urbanspark.operators import merge
 
+#: Rules up to this many (some hundred bytes each) are broadcast; more are joined by shuffle.
+BROADCAST_RULES = 20_000
 IDENTITY = ("source_id", "source_type", "source_object_id")
 
 
@@ -130,18 +133,44 @@ def _holds(tags: Column, c: Column) -> Column:
     return F.when(c["op"] == "exists", value.isNotNull()).when(c["op"].isin("equals", "in"), listed).otherwise(~listed)
 
 
+def posted_rules(rules: DataFrame) -> DataFrame:
+    """Rules with ``tag`` (key, value) under which each is posted.
+
+    A rule needs any one of its positive conditions: the first on values, posted once for each
+    value, else the first on a key alone, its value null. A rule of negations only has a null key.
+    """
+    positive = lambda *ops: F.get(F.filter("conditions", lambda c: c["op"].isin(*ops)), 0)
+    by_value, by_key = positive("equals", "in"), positive("exists")
+    tag = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
+    none = F.lit(None).cast("string")
+    tags = F.when(by_value.isNotNull(), F.transform(F.array_distinct(by_value["values"]), lambda v: tag(by_value["key"], v))).otherwise(F.array(tag(by_key["key"], none)))
+    return rules.withColumn("tag", F.explode(tags))
+
+
 def rule_matches(objects: DataFrame, rules: DataFrame) -> DataFrame:
     """(binding_id, category, rule_id, evidence): all conditions of a rule hold.
 
     objects: (binding_id, source_type, family, kind, tags). Evidence maps the tags of the
-    rule's conditions that are present to their values.
+    rule's conditions that are present to their values. Objects and rules meet by an
+    equal tag or key, then the other conditions are looked at; only rules of nothing but
+    negations are held against every object, as nearly all match them.
     """
-    any_or = lambda allowed, value: (F.size(allowed) == 0) | F.array_contains(allowed, value)
+    posted = posted_rules(rules)
+    own = objects.select("binding_id", "source_type", "family", "kind", "tags")
+    value, key = F.col("tag.value"), F.col("tag.key")
+    both = broadcast_if_small(posted.where(value.isNotNull()).withColumns({"__k": key, "__v": value}), BROADCAST_RULES)
+    alone = broadcast_if_small(posted.where(value.isNull() & key.isNotNull()).withColumn("__k", key), BROADCAST_RULES)
+    tagged = own.select("*", F.explode("tags").alias("__k", "__v"))
+    met = tagged.join(both, ["__k", "__v"]).unionByName(tagged.join(alone, "__k")).drop("__k", "__v")
+    negative = posted.where(key.isNull())
+    if not negative.isEmpty():
+        met = met.unionByName(own.join(broadcast_if_small(negative, BROADCAST_RULES)))
+    any_or = lambda allowed, v: (F.size(allowed) == 0) | F.array_contains(allowed, v)
     tags = F.col("tags")
     matches = F.forall("conditions", lambda c: _holds(tags, c)) & any_or(F.col("source_types"), F.col("source_type")) & any_or(F.col("families"), F.col("family")) & any_or(F.col("kinds"), F.col("kind"))
     keys = F.transform("conditions", lambda c: c["key"])
     evidence = F.map_filter(tags, lambda k, v: F.array_contains(keys, k))
-    return objects.join(F.broadcast(rules), matches).select("binding_id", "category", "rule_id", evidence.alias("evidence"))
+    return met.where(matches).select("binding_id", "category", "rule_id", evidence.alias("evidence"))
 
 
 def discover(objects: DataFrame, rule_keys: list[str], memberships: DataFrame | None = None) -> DataFrame:

@@ -39,6 +39,18 @@ def candidate_pairs(points: DataFrame, areas: DataFrame, radius: float, key: str
     return met.withColumn("contained", F.col("distance") == 0)
 
 
+def geodesic_candidates(points: DataFrame, areas: DataFrame, radius: float, key: str, sites: DataFrame) -> DataFrame:
+    """The same over degrees, with ``same_site`` from site relations.
+
+    points: (point_id, lon, lat, key); areas: (area_id, geom, key); sites: members of site relations
+    (relation_id, node): a pair shares a site when one relation holds both.
+    """
+    met = spatial.geodesic_join(points, areas, radius, keys=(key,)).withColumn("contained", F.col("distance") == 0)
+    held = sites.select("relation_id", "node").distinct()
+    shared = held.withColumnRenamed("node", "point_id").join(met.select("point_id", "area_id"), "point_id").join(held.withColumnRenamed("node", "area_id"), ["relation_id", "area_id"]).select("point_id", "area_id").distinct()
+    return met.join(shared.withColumn("__s", F.lit(True)), ["point_id", "area_id"], "left").withColumn("same_site", F.col("__s").isNotNull()).drop("__s")
+
+
 def geometry_role(tags: Column, geom: Column, direct: Column) -> Column:
     building = F.array_contains(F.map_keys(tags), "building") | F.array_contains(F.map_keys(tags), "building:part")
     return F.when(geom["gtype"] == "POINT", "POINT").when(building, "BUILDING").when(direct, "FACILITY_SITE").when(G.is_areal(geom), "OTHER_AREA").otherwise("UNKNOWN")

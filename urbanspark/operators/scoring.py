@@ -156,6 +156,29 @@ def tile_cells(cells: DataFrame, zoom: int, mercator: tuple[str, str, str, str])
     return tiled.withColumn("ty", F.explode(F.sequence(index(half - y1), index(half - y0))))
 
 
+def tile_rows(grids: dict[int, DataFrame], low: int, high: int, mercator: tuple[str, str, str, str], fine: int = 50, coarse: int = 200, switch: int = 13) -> DataFrame:
+    """Every cell of every tile of the zooms ``low`` to ``high``: the cells' columns with z, tx, ty and tile-local bounds.
+
+    grids: cells by their size. Each zoom shows one grid, the fine one from ``switch`` on. A
+    grid's deepest zoom is cut from its cells, each zoom above rolls up the four tiles below
+    it. Rows come in the order of tile and cell id.
+    """
+    out = None
+    for size, zooms in ((fine, range(max(low, switch), high + 1)), (coarse, range(low, min(high, switch - 1) + 1))):
+        if not len(zooms):
+            continue
+        level = tile_cells(grids[size], zooms[-1], mercator)
+        for z in reversed(zooms):
+            if z != zooms[-1]:
+                up = level.withColumns({"z": F.lit(z), "tx": F.floor(F.col("tx") / 2), "ty": F.floor(F.col("ty") / 2)})
+                level = up.dropDuplicates(["cell_id", "tx", "ty"])
+            out = level if out is None else out.unionByName(level)
+    if out is None:
+        raise ValueError("no zoom is asked for")
+    shown = out.select(*(c for c in out.columns if c not in mercator), *tile_geometry(mercator))
+    return shown.repartitionByRange("z", "tx", "ty", "cell_id").sortWithinPartitions("z", "tx", "ty", "cell_id")
+
+
 def tile_geometry(mercator: tuple[str, str, str, str]) -> list[Column]:
     """Tile-local bounds of a cell, clipped to the tile and its buffer, in 4096 units; y grows downwards."""
     side, half = 2 * math.pi * G.A / F.pow(F.lit(2.0), F.col("z")), math.pi * G.A

@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from urbanspark.functions import geometry as G
+from urbanspark.functions.session import broadcast_if_small
 from urbanspark.functions.text import trgm_similarity
 from urbanspark.operators import spatial
 
 
+#: Names under one salt of a trigram; trigrams up to this many with more are broadcast.
+HOT, BROADCAST_HOT = 100_000, 100_000
+
+
 def features(members: DataFrame, box: tuple[float, float, float, float], categories: Sequence[str], *, districts: DataFrame | None = None, spatial_first: bool = False) -> DataFrame:
     """(representation_id) of the categories in the viewport and, if given, in any of the districts.
 
@@ -96,11 +101,18 @@ def search_batch(names: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Many queries at once: names (kind, id, name) against queries (query), 3 to 100 characters.
 
     A name that contains the query has all of the query's inner trigrams, so names and
-    queries meet by an equi-join on the query's first one, then are compared in full.
-    Distinct names are posted once, whatever the number of rows that bear them.
+    queries meet by an equi-join on the query's rarest one, counted over all names, then are
+    compared in full; a query with a trigram that no name has is done. Names under a
+    trigram of more than ``HOT`` are dealt over several salts. Distinct names are posted once,
+    whatever the number of rows that bear them.
     """
-    gram = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3)))
-    asked = queries.select("query").distinct().where(F.length("query").between(3, 100)).withColumn("gram", F.substring("query", 1, 3))
-    posted = names.select("name").distinct().where(F.length("name") >= 3).select("name", F.explode(F.array_distinct(gram(F.col("name")))).alias("gram"))
-    met = posted.join(asked, "gram").where(F.contains("name", "query")).select("query", "name")
+    gram = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))
+    posted = names.select("name").distinct().where(F.length("name") >= 3).select("name", F.explode(gram(F.col("name"))).alias("gram"))
+    often = posted.groupBy("gram").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / HOT).cast("int"))
+    asked = queries.select("query").distinct().where(F.length("query").between(3, 100)).select("query", F.size(gram(F.col("query"))).alias("grams"), F.explode(gram(F.col("query"))).alias("gram"))
+    rarest = asked.join(often, "gram").groupBy("query", "grams").agg(F.count("*").alias("known"), F.min(F.struct("n", "gram", "salts")).alias("r")).where("known = grams")
+    asked = rarest.select("query", "r.gram", F.explode(F.sequence(F.lit(0), F.col("r.salts") - 1)).alias("salt"))
+    hot = broadcast_if_small(often.where("salts > 1").select("gram", "salts"), BROADCAST_HOT)
+    dealt = posted.join(hot, "gram", "left").select("name", "gram", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("name"), F.col("salts"))).cast("int").alias("salt"))
+    met = dealt.join(asked, ["gram", "salt"]).where(F.contains("name", "query")).select("query", "name")
     return rank(met.join(names, "name"), F.col("query"), k, by=["query"])

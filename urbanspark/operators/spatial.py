@@ -53,6 +53,21 @@ def distance_join(points: DataFrame, targets: DataFrame, radius: float, *, x: st
     return near.where(F.col("distance") <= radius).drop("__bx", "__by")
 
 
+def geodesic_join(points: DataFrame, targets: DataFrame, radius: float, *, degrees: float = 0.002, lon: str = "lon", lat: str = "lat", geom: str = "geom", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of a point and a shape in degrees at most ``radius`` metres apart on the ellipsoid, with ``distance``.
+
+    Both must be within ``degrees`` first, in degrees as they are, as the rules ask; then the
+    shape is laid out in metres around the point by the local radii of curvature.
+    """
+    right = binned_targets(targets, geom, degrees, degrees)
+    met = binned_points(points, lon, lat, degrees).join(right, ["__bx", "__by", *keys]).drop("__bx", "__by")
+    g, x, y = F.col(geom), F.col(lon), F.col(lat)
+    near = met.where(G.box_distance(g, lon, lat) <= degrees).where(G.st_distance(g, lon, lat) <= degrees)
+    east, north = G.metres_per_degree(y)
+    local = G.map_coordinates(g, lambda px, py: ((px - x) * east, (py - y) * north))
+    return near.withColumn("distance", G.st_distance(local, 0.0, 0.0)).where(F.col("distance") <= radius)
+
+
 def nearest(points: DataFrame, targets: DataFrame, point_id: str, *, x: str = "x", y: str = "y", geom: str = "geom", boxes: bool = False) -> DataFrame:
     """(point_id, distance) to the nearest target of every point, however far it is.
 
