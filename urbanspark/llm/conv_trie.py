@@ -285,9 +285,9 @@ def _pass(bits: int, limit: int, contract: bool, batches: Iterator[pa.RecordBatc
                 out.append((NODE, i, leaves, saved))
             else:
                 parents[i - base] = parent if inner else -1 if parent is None else -2 - parent
-                if not inner:  # the nodes of a level come with falling ids, so the last one seen is the least
-                    _, _, a, b = groups.get(parent, (0, 0, 0, 0))
-                    groups[parent] = (i, depth, a + leaves, b + saved)
+                if not inner:
+                    first, level, a, b = groups.get(parent, (i, depth, 0, 0))
+                    groups[parent] = (min(first, i), min(level, depth), a + leaves, b + saved)
         else:
             if labels is None:
                 labels = array("q", bytes(8 << bits))
@@ -319,7 +319,7 @@ def totals(tree: DataFrame, bits: int = SHARD_BITS, limit: int = QUEUE_LIMIT) ->
     own = tree.withColumn("shard", shard("id")).withColumn("kind", F.lit(NODE))
     if tree.where(F.col("id") >= 1 << bits).limit(1).count():
         hung = own.where(F.col("parent").isNull() | (shard("parent") != F.col("shard")))
-        groups = checkpointed(hung.groupBy("shard", "parent").agg(F.min("id").alias("id"), F.first("depth").alias("depth"), F.first("up").alias("up")))
+        groups = checkpointed(hung.groupBy("shard", "parent").agg(F.min("id").alias("id"), F.min("depth").alias("depth"), F.min("up").alias("up")))
         asks = groups.where("parent IS NOT NULL").select(shard("parent").alias("shard"), F.lit(REQUEST).alias("kind"), "depth", F.col("parent").alias("id"), F.col("id").alias("parent"), "up", *(F.lit(0).cast("long").alias(c) for c in ("leaves", "saved")))
         found = checkpointed(_through(own.select(*_IN).unionByName(asks.select(*_IN)), bits, limit, True))
         answers = found.where(F.col("kind") == REQUEST).select("id", F.col("leaves").alias("outer"), F.col("saved").alias("up"))
