@@ -43,6 +43,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from urbanspark.llm import rowkeys
 from urbanspark.llm import textbytes as tb
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -302,7 +303,7 @@ def _advance_each(vocabulary: Vocabulary, found: list[np.ndarray], length: np.nd
         value, back, last = [zero] + [-np.inf] * (len(at) - 1), [0] * len(at), [START] * len(at)
         for end in range(1, len(at)):
             top, by, of = -np.inf, 0, START
-            for k, r in at[end]:
+            for k, r in reversed(at[end]):  # long pieces first, so that ties end as they do above
                 score = value[end - k] + gain[r]
                 if score > top and (not merges or last[end - k] < 0 or may(last[end - k], r)):
                     top, by, of = score, k, r
@@ -485,6 +486,7 @@ def round_trips(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return docs.mapInArrow(run, f"doc_id {id_type}, n_tokens long, ids array<int>, decoded_sha256 string, exact boolean")
 
 
+@rowkeys.apart
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256, exact) of every document that is left.
 
