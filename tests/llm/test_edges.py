@@ -4,10 +4,14 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from urbanspark.llm import chat_format, decontaminate, language_id, near_dedup, pieces, toxicity
 
 
+SF = "/root/testdata/sf0.001"
+
+
 def linked(texts: list[str]) -> list[int]:
     """Least index reachable over links of two-word shingle sets with similarity 0.8."""
     sets = [set(zip(w, w[1:], strict=False)) for w in (t.split() for t in texts)]
@@ -138,3 +142,44 @@ def test_chat_roles_with_separators_are_read_back(spark):
     emitted, leaves = chat_format.format_chats(chats)
     got = {r["conv_id"]: (r["role"], r["text"]) for r in chat_format.read_back(leaves, emitted).collect()}
     assert got == {c: (r, t) for c, _, r, t in rows}
+
+
+CLASHING = ("__dropped", "__id", "__row_key", "__gone_key", "__again", "__hit", "__node", "key", "line", "kept")
+
+
+@pytest.mark.parametrize("name", ["language_id", "line_dedup", "near_dedup", "decontaminate", "sentencepiece"])
+def test_stages_keep_columns_of_any_name_and_take_empty_tables(spark, name):
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASHING})
+    out = stage(spark, docs, SF)
+    if name != "sentencepiece":
+        assert out.columns == docs.columns
+        rows = out.select("doc_id", *CLASHING).collect()
+        assert rows and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in CLASHING)
+        assert out.drop(*CLASHING).count() == stage(spark, docs.drop(*CLASHING), SF).count()
+    assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_ties_are_cut_alike_alone_and_in_company(tmp_path):
+    """Tied unigram sums: the longer piece wins, however many words share a length."""
+
+    from urbanspark.llm import pieces
+
+    def field(number, kind, data):
+        head = bytes([number << 3 | kind])
+        return head + (bytes([len(data)]) + data if kind == 2 else data)
+
+    import struct
+
+    def piece(text, score, kind):
+        return field(1, 2, field(1, 2, text.encode()) + field(2, 5, struct.pack("<f", score)) + field(3, 0, bytes([kind])))
+
+    model = b"".join([piece("<unk>", 0, 2), *(piece(f"<0x{i:02X}>", -9, 6) for i in range(256)), piece("a", -1, 1), piece("b", -1, 1), piece("ab", -2, 1), piece("▁", -1, 1), piece("c", -1, 1), piece("d", -1, 1)])
+    path = tmp_path / "tied.model"
+    path.write_bytes(model + field(2, 2, field(3, 0, bytes([1])) + b"\x98\x02\x01"))
+    codec = pieces.Codec(str(path))
+    alone = codec.encode(["ab"])[0]
+    many = codec.encode([" ".join(["ab", *(x + y for x in "abcd" for y in "abcd")] * 3)])[0]
+    assert list(many[: len(alone)]) == list(alone)

@@ -105,6 +105,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     return joined.select("doc_id", "n_words", count("n_hit"), count("n_items"), F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
 
 
+@rowkeys.apart
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with any benchmark window go; the rest stay with all their columns.
 

@@ -303,8 +303,14 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return found.select("doc_id", F.coalesce(~learnable(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+@rowkeys.apart
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, min_score: float = 0.3) -> DataFrame:
-    """Documents in no learned language go: ``und``, or pooled probability below ``min_score``."""
+    """Documents in no learned language go: ``und``, or pooled probability below ``min_score``.
+
+    A null text and one without letters are ``und`` and stay out too. Rows are judged by (doc_id, text):
+    repeated rows go or stay together, a null id is an id. An empty table gives an empty one; columns of
+    any name are kept as they are.
+    """
     rows = rowkeys.keyed(docs)
     net = fit(docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
     rejected = predict(rowkeys.named(rows), net).where((F.col("lang_pred") == "und") | (F.col("score") < min_score))

@@ -162,8 +162,14 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **
     return left.select("doc_id", n_lines.alias("n_lines"), F.size(dropped).cast("long").alias("n_dropped"), dropped.alias("dropped_lines"), "text")
 
 
+@rowkeys.apart
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines go; a document whose every word was in them goes too. n_chars is renewed."""
+    """Recurring lines go; a document whose every word was in them goes too. n_chars is renewed.
+
+    Rows are judged by (doc_id, text): a null id is an id, repeated rows lose the same lines. A null or
+    blank text stays as it is. A template's field values that stood only in dropped lines are gone
+    with them. An empty table gives an empty one; columns of any name are kept.
+    """
     rows = rowkeys.keyed(docs)
     named = rowkeys.named(rows)
     left = drop_lines(rows, repeats(named), id_col=rowkeys.KEY)

@@ -327,8 +327,14 @@ def _still_open(ranked: DataFrame, lead: DataFrame, linked: DataFrame | None, n:
     return open_.join(broadcast_if_small(weights, BROADCAST_ROWS), "comp")
 
 
+@rowkeys.apart
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity 0.8."""
+    """One document of each group of near copies stays: five-word shingles, similarity 0.8.
+
+    Null, empty and blank texts are linked with nothing and stay, each row of them. Of rows that agree in
+    id and text one stays, whichever it is in its other columns. A null id is an id. An empty table
+    gives an empty one; columns of any name are kept.
+    """
     rows = rowkeys.keyed(docs)
     copies = link(rowkeys.named(rows), shingle_words=5).where("NOT kept")
     left = rowkeys.without(rows, copies)
