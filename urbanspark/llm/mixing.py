@@ -76,6 +76,12 @@ def uniform(*parts: Column) -> Column:
 
 
 def hypergeometric(good: Column, total: Column, draws: Column, u: Column) -> Column:
+    """``_drawn`` of arguments that are worked out once: a lambda's variable is a value, a column in it an expression for each step."""
+    given = F.array(F.struct(good.alias("good"), total.alias("total"), draws.alias("draws"), u.alias("u")))
+    return F.get(F.transform(given, lambda e: _drawn(e["good"], e["total"], e["draws"], e["u"])), 0)
+
+
+def _drawn(good: Column, total: Column, draws: Column, u: Column) -> Column:
     """How many of ``draws`` from ``total`` are among the ``good``: the inverse of the distribution at ``u``.
 
     Weights follow from their neighbour by the exact ratio, over 12 deviations (and 12) on
@@ -87,16 +93,16 @@ def hypergeometric(good: Column, total: Column, draws: Column, u: Column) -> Col
     reach = 12 * F.sqrt(F.greatest(mean * (1 - p) * (total - draws) / F.greatest(total - 1, F.lit(1)), F.lit(0.0))) + 12
     first = F.greatest(low, F.floor(mean - reach).cast("long"))
     last = F.least(high, F.ceil(mean + reach).cast("long"))
-    steps = F.sequence(first, last)
+    steps = F.sequence(first + 1, last)
     ratio = lambda x: (good - x + 1) / x * ((draws - x + 1) / (total - good - draws + x))
-    weight = lambda acc, x: F.when(x == first, F.lit(1.0)).otherwise(acc["w"] * ratio(F.greatest(x, F.lit(1)).cast("double")))
     one = F.lit(1.0)
-    summed = F.aggregate(steps, F.struct(one.alias("w"), F.lit(0.0).alias("sum")), lambda acc, x: F.struct(weight(acc, x).alias("w"), (acc["sum"] + weight(acc, x)).alias("sum")), lambda acc: acc["sum"])
+    # w is the weight of the number before x; each is added once it has been passed
+    summed = F.aggregate(steps, F.struct(one.alias("w"), F.lit(0.0).alias("sum")), lambda acc, x: F.struct((acc["w"] * ratio(x.cast("double"))).alias("w"), (acc["sum"] + acc["w"]).alias("sum")), lambda acc: acc["sum"] + acc["w"])
     start = F.struct(one.alias("w"), (u * summed).alias("left"), first.alias("x"))
 
     def step(acc: Column, x: Column) -> Column:
-        w = weight(acc, x)
-        return F.struct(w.alias("w"), F.when(acc["left"] >= 0, acc["left"] - w).otherwise(acc["left"]).alias("left"), F.when(acc["left"] >= 0, x).otherwise(acc["x"]).alias("x"))
+        on = acc["left"] >= acc["w"]
+        return F.struct(F.when(on, acc["w"] * ratio(x.cast("double"))).otherwise(acc["w"]).alias("w"), F.when(on, acc["left"] - acc["w"]).otherwise(acc["left"]).alias("left"), F.when(on, x).otherwise(acc["x"]).alias("x"))
 
     return F.when(first == last, first).otherwise(F.aggregate(steps, start, step, lambda acc: acc["x"]))
 
@@ -116,6 +122,7 @@ def split(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
 
     ``begins`` is where the shard's blocks begin in each source's order.
     """
+    tasks = max(quotas.sparkSession.sparkContext.defaultParallelism, 1)
     nodes = quotas.select(F.lit(0).cast("long").alias("lo"), F.lit(shards).cast("long").alias("hi"), "quotas", F.transform("quotas", lambda q: F.lit(0).cast("long")).alias("begins"))
     for level in range(math.ceil(math.log2(max(shards, 1)))):
         width, half = F.col("hi") - F.col("lo"), F.floor((F.col("hi") - F.col("lo")) / 2)
@@ -127,8 +134,9 @@ def split(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
         two = F.struct((F.col("lo") + half).alias("lo"), "hi", F.zip_with("quotas", "left", lambda q, a: q - a).alias("quotas"), F.zip_with("begins", "left", lambda b, a: b + a).alias("begins"))
         same = F.struct("lo", "hi", "quotas", "begins")
         nodes = cut.select(F.inline(F.when(width > 1, F.array(one, two)).otherwise(F.array(same))))
+        nodes = nodes.repartition(min(2 << level, tasks), "lo")  # halves of a node go to different tasks
         if level % LEVELS_AT_ONCE == LEVELS_AT_ONCE - 1:
-            nodes = checkpointed(nodes.repartition("lo"))
+            nodes = checkpointed(nodes)
     return nodes.select(F.col("lo").alias("shard"), "quotas", "begins")
 
 
@@ -181,7 +189,8 @@ def dealt(drawn: DataFrame, sources: DataFrame, per_shard: int = PER_SHARD, seed
     begin = F.col("begins")[F.col("s")]
     places = own.select("shard", F.col("s").cast("int").alias("s"), F.explode(F.sequence(begin, begin + F.col("n") - 1)).alias("i"))
     order = W.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), F.lit("shuffle"), "s", "i"), "s", "i")
-    return drawn.join(places, ["s", "i"]).select("shard", (F.row_number().over(order) - 1).alias("position"), "s", "b", "pass", "taken")
+    # both sides grow with the words, though the planner, which sees the tree grow from one row, may think otherwise
+    return drawn.hint("merge").join(places, ["s", "i"]).select("shard", (F.row_number().over(order) - 1).alias("position"), "s", "b", "pass", "taken")
 
 
 def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = BLOCK, per_shard: int = PER_SHARD, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -196,7 +205,7 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float =
     cut = pieces(placed, block)
     out = dealt(checkpointed(draw(cut, sources, block, seed)), sources, per_shard, seed)
     words = F.least(F.col("first") + F.col("words"), F.col("taken")) - F.col("first")
-    mixed = cut.join(out, ["s", "b"]).where(words > 0).select("shard", "position", "pass", "s", "b", "r", "first", words.alias("words"))
+    mixed = cut.hint("merge").join(out, ["s", "b"]).where(words > 0).select("shard", "position", "pass", "s", "b", "r", "first", words.alias("words"))
     return placed, sources, mixed
 
 
@@ -205,5 +214,5 @@ def taken(docs: DataFrame, **parameters) -> DataFrame:
     placed, sources, mixed = mix(docs, **parameters)
     first = F.min(F.struct("shard", "position"))
     used = mixed.groupBy("r").agg(F.sum("words").alias("taken"), first.alias("at"))
-    known = placed.join(broadcast_if_small(sources.drop("source"), BROADCAST_SOURCES), "s").join(used, "r", "left")
+    known = placed.join(broadcast_if_small(sources.drop("source"), BROADCAST_SOURCES), "s").hint("merge").join(used, "r", "left")
     return known.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.col("at.shard").alias("first_shard"), F.col("at.position").alias("first_position"))
