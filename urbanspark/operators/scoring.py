@@ -35,7 +35,8 @@ def curve_value(value: Column, xs: Column, ys: Column) -> Column:
     k = F.size(F.filter(xs, lambda x: x <= value))
     x0, x1, y0, y1 = F.get(xs, k - 1), F.get(xs, k), F.get(ys, k - 1), F.get(ys, k)
     between = y0 + (y1 - y0) * (value - x0) / (x1 - x0)
-    return F.when(value <= xs[0], ys[0]).when(value >= F.element_at(xs, -1), F.element_at(ys, -1)).when(k < n, between)
+    # beyond the last anchor by the comparison or by the count: both may round a computed value differently
+    return F.when(value <= xs[0], ys[0]).when((value < F.element_at(xs, -1)) & (k < n), between).when(value.isNotNull(), F.element_at(ys, -1))
 
 
 def curves_frame(spark, curves: dict[str, list[tuple[float, float]]]) -> DataFrame:
