@@ -133,8 +133,9 @@ def _registry_sql() -> str:
 def registry_scores(spark, sf):
     values = registry_values(spark, sf)
     curves = scoring.curves_frame(spark, metric_registry.curves())
-    scored = values.join(F.broadcast(curves), "metric_key")
-    return scored.select("metric_key", "cell_id", F.round("raw_value", 6).alias("raw_value"), F.round(scoring.curve_value(F.col("raw_value"), F.col("xs"), F.col("ys")), 6).alias("score"))
+    # the score first: beside a rounded column of the same name, the curve's inner functions would take that one
+    scored = values.join(F.broadcast(curves), "metric_key").withColumn("score", scoring.curve_value(F.col("raw_value"), F.col("xs"), F.col("ys")))
+    return scored.select("metric_key", "cell_id", F.col("raw_value").alias("raw"), "score").select("metric_key", "cell_id", F.round("raw", 6).alias("raw_value"), F.round("score", 6).alias("score"))
 
 
 # Tile rows over zooms
