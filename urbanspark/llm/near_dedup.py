@@ -9,7 +9,9 @@ texts are skipped. Each pair that meets is confirmed on the full sets.
 
 A posting list is never expanded into all its pairs. Each round compares a few leaders of
 a list, members of its smallest components first, with the list's other members, and
-then takes them out of the list: their pairs there are done. Confirmed links contract
+then takes them out of the list: their pairs there are done. The pairs of the first round are
+confirmed in two steps, each set's nearest pair first, then what still lies between
+components: a set with ten links to one group travels once. Confirmed links contract
 components, and a list that lies in one component is done. Where a group is held together
 by its first leaders only its outsiders are ever compared with all of it, and parity bits
 of the sets, which bound how far two sets are apart, refute most of these pairs inside
@@ -215,24 +217,25 @@ def _prefix_postings(full: DataFrame, nodes: DataFrame, matches: int) -> DataFra
 def _signed(full: DataFrame, postings: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, minima, mask, parities) of the sets that have a posting; mask: a bit for each coordinate they are posted under."""
     masks = postings.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftright(key, 32) as int))")).alias("mask"))
-    ids = nodes.join(masks, "node").select(F.col("least").alias("__id"), F.col("node").alias("__node"), "mask")
-    own = full.join(ids, (full["node"] == ids["__node"]) & full["doc_id"].eqNullSafe(ids["__id"]))
-    return own.select("node", "minima", "mask", *PARITIES).dropDuplicates(["node"])
+    # A hash of the id beside the node spreads copies of one text; repeated rows then go where they are joined.
+    ids = nodes.join(masks, "node").select("node", F.xxhash64("least").alias("__of"), F.col("least").alias("__id"), "mask")
+    own = full.withColumn("__of", F.xxhash64("doc_id")).join(ids, ["node", "__of"]).where(F.col("doc_id").eqNullSafe(F.col("__id")))
+    return own.select("node", "__of", "minima", "mask", *PARITIES).dropDuplicates(["node", "__of"]).drop("__of")
 
 
 def _sets_of(rows: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, items) of the wanted nodes, read from one text each."""
+    """(node, items) of the wanted nodes, read from one text each and partitioned by node for the joins that follow."""
     ids = checkpointed(nodes.join(wanted, "node", "left_semi").select(F.col("least").alias("__id")).distinct())
     few = broadcast_if_small(ids, BROADCAST_IDS)
     texts = rows.join(few, rows["doc_id"].eqNullSafe(few["__id"]), "left_semi").select("text")
     items = texts.mapInArrow(partial(_sets, size=size), "node long, items array<long>")
-    return checkpointed(items.join(broadcast_if_small(wanted, BROADCAST_IDS), "node", "left_semi").dropDuplicates(["node"]))
+    return items.join(broadcast_if_small(wanted, BROADCAST_IDS), "node", "left_semi").dropDuplicates(["node"])
 
 
 def _links(rows: DataFrame, nodes: DataFrame, postings: DataFrame, signed: DataFrame, size: int, similarity: tuple[int, int], matches: int) -> DataFrame:
     """Links (a, b) that hold every component of the sets together; each is confirmed on the full sets."""
     open_ = postings.withColumns({"comp": F.col("node"), "weight": F.lit(1).cast("long")})
-    left, leaders, turn, sets, links = open_.count(), LEADERS, 0, None, None
+    left, leaders, turn, links = open_.count(), LEADERS, 0, None
     while left:
         ranked = open_.withColumn("rank", F.struct("weight", F.xxhash64("node", "key").alias("h"), "node"))
         lead = _leaders(ranked, leaders, left)
@@ -244,10 +247,14 @@ def _links(rows: DataFrame, nodes: DataFrame, postings: DataFrame, signed: DataF
             both = F.col("mask").bitwiseAND(F.col("l_mask"))
             least = F.array_position(F.transform(same, lambda s, i: s & (F.call_function("getbit", both, i) == 1)), True) - 1
             pairs = met.where((F.size(F.filter(same, lambda s: s)) >= matches) & (least == F.shiftright("key", 32)))
-        pairs = checkpointed(packed(pairs.select("a", "b", "ca", "cb"), left * leaders))
-        ends = packed(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), left)
-        sets = _with_sets(sets, rows, nodes, ends, size)
-        linked = checkpointed(packed(_confirmed(pairs, sets, similarity), left * leaders))
+        pairs = checkpointed(packed(pairs.select("a", "b", "ca", "cb", "odd"), left * leaders))
+        if turn == 0:
+            nearest = checkpointed(packed(_nearest(pairs), left))
+            linked = _confirmed(nearest, rows, nodes, size, similarity, left)
+            pairs = checkpointed(packed(_between(pairs, nearest, linked), left))
+            linked = linked.union(_confirmed(pairs, rows, nodes, size, similarity, left))
+        else:
+            linked = _confirmed(pairs, rows, nodes, size, similarity, left * leaders)
         links = linked if links is None else links.union(linked)
         open_ = _still_open(ranked, lead, linked, left)
         if turn == 0:
@@ -259,16 +266,27 @@ def _links(rows: DataFrame, nodes: DataFrame, postings: DataFrame, signed: DataF
     return links.select("a", "b")
 
 
-def _with_sets(sets: DataFrame | None, rows: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``sets`` and those of the wanted nodes that it lacks."""
-    missing = checkpointed(wanted if sets is None else wanted.join(sets.select("node"), "node", "left_anti"))
-    more = _sets_of(rows, nodes, missing, size) if sets is None or not missing.isEmpty() else None
-    return sets if more is None else more if sets is None else sets.union(more)
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """For each set the pair in which fewest parity bits differ."""
+    each = pairs.select(F.explode(F.array("a", "b")).alias("node"), F.struct("odd", "a", "b", "ca", "cb").alias("pair"))
+    return each.groupBy("node").agg(F.min("pair").alias("pair")).select("pair.*").distinct()
+
+
+def _between(pairs: DataFrame, tried: DataFrame, linked: DataFrame) -> DataFrame:
+    """The untried pairs of different components after ``linked``."""
+    comps = checkpointed(components(linked.select("a", "b")))
+    one, other = (broadcast_if_small(comps.select(F.col("node").alias(k), F.col("comp").alias(f"{k}_into")), BROADCAST_ROWS) for k in "ab")
+    rest = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(one, "a", "left").join(other, "b", "left")
+    return rest.where(F.coalesce("a_into", "a") != F.coalesce("b_into", "b")).select("a", "b", "ca", "cb", "odd")
 
 
-def _apart(one: str, other: str, both: Column, similarity: tuple[int, int]) -> Column:
-    """Whether parity bits leave sets of ``both`` shingles together as near as a link needs."""
-    odd = sum((F.bit_count(F.col(f"{one}{p}").bitwiseXOR(F.col(f"{other}{p}"))) for p in PARITIES), F.lit(0))
+def _odd(one: str, other: str) -> Column:
+    """How many parity bits two sets differ in."""
+    return sum((F.bit_count(F.col(f"{one}{p}").bitwiseXOR(F.col(f"{other}{p}"))) for p in PARITIES), F.lit(0))
+
+
+def _apart(odd: Column, both: Column, similarity: tuple[int, int]) -> Column:
+    """Whether ``odd`` parity bits leave sets of ``both`` shingles together as near as a link needs."""
     return odd * (similarity[0] + similarity[1]) <= both * (similarity[1] - similarity[0])
 
 
@@ -283,12 +301,14 @@ def _met(ranked: DataFrame, lead: DataFrame, similarity: tuple[int, int]) -> Dat
     apart = F.bit_count(F.col("s0").bitwiseXOR(F.col("l_s0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("l_s1")))
     sizes = F.least("n", "l_n") * similarity[1] >= F.greatest("n", "l_n") * similarity[0]
     if PARITIES[0] in ranked.columns:
-        sizes &= _apart("", "l_", F.col("n") + F.col("l_n"), similarity)
+        sizes &= _apart(_odd("", "l_"), F.col("n") + F.col("l_n"), similarity)
     met = ranked.join(broadcast_if_small(lead, BROADCAST_LEADERS), "key").where((F.col("rank") > F.col("l_rank")) & (F.col("comp") != F.col("l_comp")) & sizes & (apart <= BITS_APART))
     ends = {"a": F.least("node", "l_node"), "b": F.greatest("node", "l_node"), "both": F.col("n") + F.col("l_n")}
     swapped = F.col("node") > F.col("l_node")
     ends |= {"ca": F.when(swapped, F.col("l_comp")).otherwise(F.col("comp")), "cb": F.when(swapped, F.col("comp")).otherwise(F.col("l_comp"))}
     more = [c for c in ("key", "minima", "mask", "l_minima", "l_mask") if "minima" in ranked.columns]
+    if more:
+        ends |= {"odd": _odd("", "l_")}
     return met.select(*(v.alias(k) for k, v in ends.items()), *more)
 
 
@@ -302,15 +322,21 @@ def _colliding(pairs: DataFrame, signed: DataFrame, matches: int, similarity: tu
     signed = signed.select("node", short, *PARITIES)
     left, right = (signed.select(F.col("node").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("minima", *PARITIES))) for k in "ab")
     same = F.filter(F.zip_with("a_minima", "b_minima", lambda x, y: x == y), lambda s: s)
-    return pairs.join(left, "a").join(right, "b").where(_apart("a_", "b_", F.col("both"), similarity)).where(F.size(same) >= matches)
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs whose full sets are similar."""
-    left, right = (sets.join(broadcast_if_small(pairs.select(F.col(k).alias("node")).distinct(), BROADCAST_ROWS), "node", "left_semi").select(F.col("node").alias(k), F.col("items").alias(f"i{k}")) for k in "ab")
+    met = pairs.join(left, "a").join(right, "b").where(_apart(_odd("a_", "b_"), F.col("both"), similarity)).where(F.size(same) >= matches)
+    return met.withColumn("odd", _odd("a_", "b_"))
+
+
+def _confirmed(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, size: int, similarity: tuple[int, int], n: int) -> DataFrame:
+    """The pairs whose full sets are similar. The sets are shuffled once: both joins read the one exchange by node."""
+    found = pairs.select("a", "b", "ca", "cb")
+    if found.isEmpty():
+        return found
+    ends = packed(found.select(F.col("a").alias("node")).union(found.select("b")).distinct(), n)
+    sets = _sets_of(rows, nodes, checkpointed(ends), size)
+    left, right = (sets.select(F.col("node").alias(k), F.col("items").alias(f"i{k}")) for k in "ab")
     both = F.size(F.array_intersect("ia", "ib"))
     linked = both * similarity[1] >= (F.size("ia") + F.size("ib") - both) * similarity[0]
-    return pairs.join(left, "a").join(right, "b").where(linked).select("a", "b", "ca", "cb")
+    return checkpointed(packed(found.join(left, "a").join(right, "b").where(linked).select("a", "b", "ca", "cb"), n))
 
 
 def _still_open(ranked: DataFrame, lead: DataFrame, linked: DataFrame | None, n: int) -> DataFrame:
