@@ -492,6 +492,51 @@ def test_lm_counts_every_word_and_trains_on_every_position(spark):
     assert sorted(by_unit)[: lm_score.FREQUENT] == list(range(lm_score.FREQUENT))
 
 
+def _shuffled(spark) -> int:
+    sc, none = spark.sparkContext, spark._jvm.java.util.ArrayList
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(none(), False, False, sc._gateway.new_array(spark._jvm.double, 0), none())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_lm_words_cross_the_shuffle_once_and_their_counts_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").repartition(6, "doc_id").localCheckpoint()
+    words = lm_score.sliced(docs).agg(F.sum(F.size("words"))).first()[0]
+    before = _shuffled(spark)
+    lm_score.score(docs).write.format("noop").mode("overwrite").save()
+    assert _shuffled(spark) - before < 40 * words
+
+
+def test_lm_scores_tables_without_words(spark):
+    none = spark.createDataFrame([("a", None), ("b", ""), (None, " \n")], "doc_id string, text string").repartition(2)
+    assert sorted(map(tuple, lm_score.score(none).collect()), key=str) == [("a", 0, 0.0, None), ("b", 0, 0.0, None), (None, 0, 0.0, None)]
+    assert lm_score.score(none.where("false")).count() == 0
+    assert lm_score.fit(none)[0].table.count() == 0
+
+
+def test_lm_step_is_the_plain_gradient(spark):
+    rng = np.random.default_rng(3)
+    for scale, size in ((0.1, 40), (30.0, 40), (0.1, 7)):  # of the second, scores are too large for exp in float32
+        draw = lambda *shape: rng.standard_normal(shape).astype(np.float32) * np.float32(scale)  # noqa: B023, E731
+        w = lm_score.Weights(draw(2 * lm_score.WINDOW, lm_score.UNITS + 1, lm_score.WIDTH), draw(lm_score.WIDTH), draw(lm_score.WIDTH, lm_score.UNITS), draw(lm_score.UNITS))
+        unit, around = rng.integers(0, lm_score.UNITS, size), rng.integers(0, 5, (2 * lm_score.WINDOW, size))
+        c, hid, o, b = (x.astype(float) for x in (w.context, w.hidden, w.out, w.bias))
+        h = np.tanh(hid + sum(c[k][around[k]] for k in range(2 * lm_score.WINDOW)))
+        z = h @ o + b
+        z -= z.max(axis=1, keepdims=True)
+        log_p = (z - np.log(np.exp(z).sum(axis=1, keepdims=True)))[np.arange(size), unit]
+        assert lm_score.log_probabilities(w, around, unit) == pytest.approx(log_p, rel=1e-4, abs=1e-4)
+        g = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+        g[np.arange(size), unit] -= 1
+        g *= 0.5 / size
+        d = (g @ o.T) * (1 - h * h)
+        for k in range(2 * lm_score.WINDOW):
+            np.subtract.at(c[k], around[k], d)
+        lm_score.Network(w, 40).step(around + lm_score._PLACES, unit, 0.5)
+        for got, want in ((w.context, c), (w.hidden, hid - d.sum(axis=0)), (w.out, o - h.T @ g), (w.bias, b - g.sum(axis=0))):
+            assert got == pytest.approx(want, rel=1e-3, abs=1e-4 * scale)
+
+
 # SQL and the pipeline
 
 
