@@ -8,9 +8,9 @@ from urbanspark.operators import spatial
 from urbanspark.plans import map_queries, spatial_queries, table_queries  # noqa: F401
 from urbanspark.plans.registry import QUERIES
 
-SF = "/root/testdata/sf0.001"
-#: The planner's own broadcasts count; those that follow from sizes measured at run time are off.
-LIMITS = {"spark.sql.maxBroadcastTableSize": "128k", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+SF = "/root/testdata/sf0.01"
+#: Any table that is broadcast takes 1 MB at least. The planner's own broadcasts count; those that follow from sizes measured at run time are off.
+LIMITS = {"spark.sql.maxBroadcastTableSize": "2m", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
 
 
 @pytest.fixture
@@ -22,7 +22,7 @@ def small_broadcasts(spark):
         spark.conf.unset(k)
 
 
-@pytest.mark.parametrize("name", ["facility_candidates"])
+@pytest.mark.parametrize("name", "facility_candidates building_split".split())
 def test_nothing_large_is_broadcast(spark, small_broadcasts, name):
     QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
 
@@ -44,3 +44,5 @@ def test_bins_of_all_sizes_meet_every_pair_once(spark, radius):
     brute = points.join(shapes(spark).withColumnRenamed("k", "k2"), F.col("k") == F.col("k2")).withColumn("d", G.st_distance(F.col("geom"), "x", "y")).where(F.col("d") <= radius)
     want = sorted((r["cell_id"], r["target_id"], r["d"]) for r in brute.collect())
     assert want and sorted((r["cell_id"], r["target_id"], r["distance"]) for r in got.collect()) == want
+    every = points.crossJoin(shapes(spark).select("geom")).where(G.st_distance(F.col("geom"), "x", "y") <= radius).select("cell_id").distinct()
+    assert sorted(spatial.reached(points, shapes(spark), radius, "cell_id").collect()) == sorted(every.collect())

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from urbanspark.functions import geometry as G
-from urbanspark.functions.session import broadcast_if_small
 from urbanspark.operators import spatial
 
 
@@ -48,9 +47,9 @@ def source_geometry(df: DataFrame) -> DataFrame:
 
 def building_split(points: DataFrame, areas: DataFrame) -> DataFrame:
     """One row: buildings, sites, and points that a building's footprint covers."""
-    inside = spatial.distance_join(points.select("id", "x", "y"), areas.where("building").select("geom"), 0.0).agg(F.count_distinct("id").alias("contained"))
+    inside = spatial.reached(points, areas.where("building"), 0.0, "id").agg(F.count("id").alias("contained"))
     split = areas.agg(F.count_if("building").alias("buildings"), F.count_if(~F.col("building")).alias("sites"))
-    return split.crossJoin(broadcast_if_small(inside, 1))
+    return split.crossJoin(F.broadcast(inside))
 
 
 def evidence_tiers(pairs: DataFrame, equal: Column) -> DataFrame:
