@@ -22,7 +22,7 @@ def small_broadcasts(spark):
         spark.conf.unset(k)
 
 
-@pytest.mark.parametrize("name", "facility_candidates building_split".split())
+@pytest.mark.parametrize("name", "facility_candidates building_split evidence_tiers".split())
 def test_nothing_large_is_broadcast(spark, small_broadcasts, name):
     QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
 
