@@ -22,7 +22,7 @@ def small_broadcasts(spark):
         spark.conf.unset(k)
 
 
-@pytest.mark.parametrize("name", "facility_candidates building_split evidence_tiers facility_evidence facility_report".split())
+@pytest.mark.parametrize("name", "facility_candidates building_split evidence_tiers facility_evidence facility_report geodesic_candidates".split())
 def test_nothing_large_is_broadcast(spark, small_broadcasts, name):
     QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
 
@@ -46,3 +46,18 @@ def test_bins_of_all_sizes_meet_every_pair_once(spark, radius):
     assert want and sorted((r["cell_id"], r["target_id"], r["distance"]) for r in got.collect()) == want
     every = points.crossJoin(shapes(spark).select("geom")).where(G.st_distance(F.col("geom"), "x", "y") <= radius).select("cell_id").distinct()
     assert sorted(spatial.reached(points, shapes(spark), radius, "cell_id").collect()) == sorted(every.collect())
+
+
+def test_geodesic_bins_meet_every_pair_at_any_latitude(spark):
+    i = F.col("id")
+    lat = F.element_at(F.array(*map(F.lit, (0.0, 60.0, -75.0, 89.999))), (i % 4 + 1).cast("int"))
+    points = spark.range(800).select(i.alias("point_id"), (30 + (i * 7919) % 97 / 20000.0).alias("lon"), (lat + (i * 6007) % 89 / 30000.0).alias("lat"))
+    lon, side = 30 + (i * 104729) % 97 / 20000.0, F.when(i % 3 == 0, 0.0).otherwise((i % 7) / 1000.0)
+    geom = F.when(i % 3 == 0, G.point(lon, lat + 0.001)).otherwise(G.rectangle(lon, lat + 0.001, lon + side, lat + 0.001 + side))
+    areas = spark.range(60).select(i.alias("area_id"), geom.alias("geom"))
+    east, north = G.metres_per_degree(F.col("lat"))
+    local = G.map_coordinates(F.col("geom"), lambda x, y: ((x - F.col("lon")) * east, (y - F.col("lat")) * north))
+    brute = points.crossJoin(areas).where(G.st_distance(F.col("geom"), "lon", "lat") <= 0.002).withColumn("d", G.st_distance(local, 0.0, 0.0)).where("d <= 100")
+    want = sorted((r["point_id"], r["area_id"], round(r["d"], 6)) for r in brute.collect())
+    got = spatial.geodesic_join(points, areas, 100.0)
+    assert len(want) > 100 and sorted((r["point_id"], r["area_id"], round(r["distance"], 6)) for r in got.collect()) == want
