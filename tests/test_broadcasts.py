@@ -22,7 +22,7 @@ def small_broadcasts(spark):
         spark.conf.unset(k)
 
 
-@pytest.mark.parametrize("name", "facility_candidates building_split evidence_tiers facility_evidence facility_report geodesic_candidates facility_groups facility_ids".split())
+@pytest.mark.parametrize("name", "facility_candidates facility_evidence evidence_tiers facility_report building_split geodesic_candidates facility_groups facility_roles facility_ids".split())
 def test_nothing_large_is_broadcast(spark, small_broadcasts, name):
     QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
 
